@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,14 +136,25 @@ class Words:
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.start))
 
 
-def words_of(column: pa.Array | pa.ChunkedArray, *, lower: bool = False, hashes: int = 1) -> Words:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK):
+    """The batch in slices of about limit bytes of one binary or string column, at least a row each."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64) + 1
+    upto, i, n = np.concatenate([[0], np.cumsum(lengths)]), 0, batch.num_rows
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + limit, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def words_of(column: pa.Array | pa.ChunkedArray, *, through: np.ndarray | None = None, hashes: int = 1) -> Words:
     """Splits whole texts into words and hashes each word with one or two 64-bit hashes.
 
-    A null text has no words. Work goes in chunks of whole texts, so that arrays stay small.
+    Bytes are mapped by the table `through` first, such as LOWER. A null text has no words. Work goes in chunks of
+    whole texts, so that arrays stay small.
     """
     data, offsets = binary_parts(column)
-    if lower:
-        data = LOWER[data]
+    if through is not None:
+        data = through[data]
     starts, ends, found, counts = [], [], [[] for _ in range(hashes)], [np.zeros(1, np.int64)]
     i, n = 0, len(offsets) - 1
     while i < n:

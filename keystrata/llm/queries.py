@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import pii
+from keystrata.llm import chat, langid, pii, sigtree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": chat.op2_chat,
+    "op3_langid": langid.op3_langid,
     "op7_pii": pii.op7_pii,
+    "op8_jaccard": sigtree.op8_jaccard,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
     "op7_pii": pii.ORACLE,
 }
