@@ -123,6 +123,7 @@ class Words:
     end: np.ndarray
     bounds: np.ndarray  # text i has the words bounds[i]:bounds[i + 1]
     hashes: tuple[np.ndarray, ...]
+    prefixes: tuple[np.ndarray, ...] = ()
 
     def __len__(self) -> int:
         return len(self.start)
@@ -146,8 +147,8 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK):
         i = j
 
 
-def words_of(column: pa.Array | pa.ChunkedArray, *, through: np.ndarray | None = None, hashes: int = 1) -> Words:
-    """Splits whole texts into words and hashes each word with one or two 64-bit hashes.
+def words_of(column: pa.Array | pa.ChunkedArray, *, through: np.ndarray | None = None, hashes: int = 1, prefixes: tuple[int, ...] = ()) -> Words:
+    """Splits whole texts into words and hashes each word with one or two 64-bit hashes, and its first bytes too.
 
     Bytes are mapped by the table `through` first, such as LOWER. A null text has no words. Work goes in chunks of
     whole texts, so that arrays stay small.
@@ -155,7 +156,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, *, through: np.ndarray | None =
     data, offsets = binary_parts(column)
     if through is not None:
         data = through[data]
-    starts, ends, found, counts = [], [], [[] for _ in range(hashes)], [np.zeros(1, np.int64)]
+    starts, ends, found, heads, counts = [], [], [[] for _ in range(hashes)], [[] for _ in prefixes], [np.zeros(1, np.int64)]
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
@@ -170,13 +171,16 @@ def words_of(column: pa.Array | pa.ChunkedArray, *, through: np.ndarray | None =
             values, up, down = _hash_tables(which, len(part))
             total = np.concatenate([np.zeros(1, U), np.cumsum(values[part] * up[: len(part)], dtype=U)])
             found[which].append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U)))
+            for k, length in enumerate(prefixes if which == 0 else ()):
+                to = np.minimum(s + length, e)
+                heads[k].append(mix((total[to] - total[s]) * down[s] + U((length << 8) + 77)))
         counts.append(np.diff(np.searchsorted(s, offsets[i : j + 1] - lo)))
         starts.append(s + lo)
         ends.append(e + lo)
         i = j
     join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
     bounds = np.cumsum(np.concatenate(counts))
-    return Words(data, join(starts, np.int64), join(ends, np.int64), bounds, tuple(join(f, U) for f in found))
+    return Words(data, join(starts, np.int64), join(ends, np.int64), bounds, tuple(join(f, U) for f in found), tuple(join(f, U) for f in heads))
 
 
 def window_hashes(h: np.ndarray, length: int) -> np.ndarray:

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import chat, langid, pii, sigtree, toxicity
+from keystrata.llm import chat, decontam, langid, pii, rlz, sigtree, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": chat.op2_chat,
     "op3_langid": langid.op3_langid,
+    "op5_decontam": decontam.op5_decontam,
+    "op6_substring": rlz.op6_substring,
     "op7_pii": pii.op7_pii,
     "op8_jaccard": sigtree.op8_jaccard,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_vectors": vectors.op10_vectors,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences score, documents answer for them by noisy-or.
 
 A sentence is a stretch up to `.`, `!`, `?` or a line end; its features are the words it has (runs of letters and
-digits, lower-cased, hashed). A sentence's score is a logistic function of the sum of its words' weights, and a
+digits, lower-cased, hashed) and the words' first PREFIXES bytes, which hold inflected and compound forms together. A sentence's score is a logistic function of the sum of its words' weights, and a
 document's score is 1 - prod(1 - sentence score). Weights are fitted to document labels alone; the sentence scores
 then tell which sentences are to blame.
 
@@ -26,10 +26,12 @@ from keystrata.llm.common import U, Words, binary_parts, crc_rest, pieces, table
 
 POSITIVES, NEGATIVES = 3000, 4500
 BITS = 18
-ROUNDS = 150
+ROUNDS = 120
 DECISION = 0.3
 LEAST_DOCUMENTS = 4
-PENALTY = 2e-4
+PENALTY = 0.2
+FLOOR = 0.3
+PREFIXES = (4, 6)
 
 _WORD = np.full(256, 32, np.uint8)
 _WORD[97:123] = np.arange(97, 123)
@@ -47,8 +49,8 @@ class Model:
 
 
 def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words, the slot of each, and the sentence of each word, numbered through the batch."""
-    w = words_of(texts, through=_WORD)
+    """Words, the slots of each (a row for the word and each prefix), and its sentence, numbered through the batch."""
+    w = words_of(texts, through=_WORD, prefixes=PREFIXES)
     data, _ = binary_parts(texts)
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     fresh = np.ones(len(w), bool)
@@ -56,11 +58,15 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
         fresh[1:] = stops[w.start[1:]] > stops[w.end[:-1]]
         firsts = w.bounds[:-1][np.diff(w.bounds) > 0]
         fresh[firsts] = True
-    return w, (w.hashes[0] >> U(64 - BITS)).astype(np.int64), np.cumsum(fresh) - 1
+    return w, np.stack([(h >> U(64 - BITS)).astype(np.int64) for h in (w.hashes[0], *w.prefixes)]), np.cumsum(fresh) - 1
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray) -> Model:
-    """docs: for each, its (sentence, slot) pairs without repeats. Adam on the weighted likelihood of the labels."""
+    """docs: for each, its (sentence, slot) pairs without repeats.
+
+    Adam on the weighted likelihood of the labels; weights stay at zero or above, as words only add to the blame, and
+    a constant pull of PENALTY keeps those at zero that chance would raise.
+    """
     zero = Model(np.zeros(1 << BITS, np.float32), -30.0)
     if not len(docs) or labels.min() == labels.max():
         return zero
@@ -77,22 +83,21 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: n
     sentence, column = sentence[keep], column[keep]
     w, b = np.zeros(len(known)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    total = weight.sum()
     for t in range(1, ROUNDS + 1):
         z = b + np.bincount(sentence, weights=w[column], minlength=base[-1])
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(docs)))
         some = np.maximum(1 - none, 1e-9)
-        pull = np.where(labels == 1, -none / some, 1.0) * weight / total
+        pull = np.where(labels == 1, -none / some, 1.0) * weight
         gz = pull[owner] * p
-        g = np.bincount(column, weights=gz[sentence], minlength=len(known)) + PENALTY / max(1, len(known)) * w
+        g = np.bincount(column, weights=gz[sentence], minlength=len(known)) + PENALTY
         gb = gz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.15 * min(1.0, 2 * (1 - t / (ROUNDS + 1)))
-        # The floor under the root keeps words with next to no gradient, seen once or twice, near zero.
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 2e-4)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
+        # The floor under the root keeps words with next to no gradient near zero.
+        w = np.maximum(0.0, w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + FLOOR))
+        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + FLOOR)
     zero.weights[known] = w
     return Model(zero.weights, float(b))
 
@@ -116,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
             out = []
             for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True):
                 local = number[a:b] - (number[a] if b > a else 0)
-                out.append(np.unique((local.astype(np.int64) << BITS) | slots[a:b]).tobytes())
+                out.append(np.unique(((local.astype(np.int64) << BITS) | slots[:, a:b]).ravel()).tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(out, pa.binary())], ["doc_id", "toxic", "pairs"])
 
     # At most positives + negatives ids, whatever the size of the tables.
@@ -139,7 +144,7 @@ def score_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[list[di
     score, blamed = np.zeros(n), [[] for _ in range(n)]
     if not len(w):
         return score, blamed
-    key = np.unique((number << BITS) | slots)
+    key = np.unique(((number << BITS) | slots).ravel())
     count = int(number[-1]) + 1
     z = model.bias + np.bincount(key >> BITS, weights=model.weights[key & ((1 << BITS) - 1)], minlength=count)
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
