@@ -5,7 +5,7 @@ few seeds. Test items and training documents are hashed under the same masks and
 the two word sequences are compared place by place, and the best stretch (a match counts 1, a mismatch MISMATCH)
 is the overlap. A document leaks an item when the stretch matches LEAST words and SHARE of the item, or LONG words.
 
-Words are runs of letters and digits, A-Z lower-cased. Before the join, documents keep the places whose hash is in a
+Words are runs of letters and digits of the lower-cased text in Unicode's form NFKC. Before the join, documents keep the places whose hash is in a
 bitmap of the items' hashes: its size follows the number of hashes up to MOST_BITS and is fixed beyond, where the
 join gets more to do and stays right. Hits that lie close make a region, with the words around it; so a text travels
 only where it may leak. Items of equal words are one item (the smallest item_id) with a count.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,12 +62,17 @@ def _all_masks(short: list[int]) -> list[tuple[int, str]]:
     return [*enumerate(MASKS), *((100 + n, "1" * n) for n in sorted(short))]
 
 
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts in one spelling: composed characters, lower case."""
+    return pc.utf8_lower(pc.utf8_normalize(texts, "NFKC"))
+
+
 def item_table(items: DataFrame) -> DataFrame:
     """Items of at least LEAST words, equal ones once: item_id, n_items, n_words, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in pieces(whole, "text")):
-            w = words_of(batch["text"], through=_WORD)
+            w = words_of(_plain(batch["text"]), through=_WORD)
             rows = [w.hashes[0][a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["item_id", "n_words", "words"])
 
@@ -114,7 +120,7 @@ def _regions(docs: DataFrame, masks: list[tuple[int, str]], bitmap: np.ndarray)
         bitmap = sent.value
         has = lambda i: (bitmap[i >> 5] >> (i & 31).astype(np.uint32)) & 1 == 1
         for batch in (p for whole in batches for p in pieces(whole, "text")):
-            w = words_of(batch["text"], through=_WORD)
+            w = words_of(_plain(batch["text"]), through=_WORD)
             h, room = w.hashes[0], w.room()
             places, hashes = [], []
             for which, mask in masks:
