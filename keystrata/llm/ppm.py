@@ -1,9 +1,9 @@
 """Scoring by prediction by partial matching, with a trie of byte contexts learned from the whole corpus.
 
 The model is a trie of byte contexts up to ORDER bytes, with the count of each next byte in the training texts. A
-byte's probability comes from the longest context seen; a byte that is new there escapes to the next shorter one with
-probability d / (n + d) (n: counts left, d: distinct bytes left), and bytes of the longer context are excluded from
-the shorter one's counts. Below order 0 all bytes left are equally likely. A text is its bytes, A-Z lower-cased, then
+byte's probability comes from the longest context seen, (2 c - 1) / 2 n for a byte of count c among counts of n; a byte
+that is new there escapes to the next shorter one with probability d / 2 n (d: distinct bytes), and bytes of the longer
+context are excluded from the shorter one's n and d. Below order 0 all bytes left are equally likely. A text is its bytes, A-Z lower-cased, then
 an end mark; contexts before the first byte are filled with that mark. Its score is the log10 probability.
 
 The trie is never in one place. Documents are dealt into blocks; a block sends each distinct run of ORDER + 1 bytes
@@ -120,8 +120,8 @@ class Model:
             live = left > 0
             count = self._counts(k, q & U((1 << (8 * (k + 1))) - 1))
             hit = live & (count > 0)
-            total = np.where(live, left + kinds, 1)
-            out[open_] += np.where(hit, np.log10(np.maximum(count, 1) / total), np.where(live, np.log10(np.maximum(kinds, 1) / total), 0.0))
+            total = np.where(live, 2 * left, 1)
+            out[open_] += np.where(hit, np.log10(np.maximum(2 * count - 1, 1) / total), np.where(live, np.log10(np.maximum(kinds, 1) / total), 0.0))
             seen = n > 0
             cut_n[open_] = np.where(seen, below, cut_n[open_] * 0)
             cut_d[open_] = np.where(seen, d, 0)
