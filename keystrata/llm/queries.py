@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import chat, decontam, langid, pii, ppm, rlz, sigtree, toxicity, vectors
+from keystrata.llm import chat, decontam, langid, pieces, pii, ppm, rlz, sigtree, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": ppm.op1_ppm,
     "op2_chat": chat.op2_chat,
     "op3_langid": langid.op3_langid,
+    "op4_pieces": pieces.op4_pieces,
     "op5_decontam": decontam.op5_decontam,
     "op6_substring": rlz.op6_substring,
     "op7_pii": pii.op7_pii,
