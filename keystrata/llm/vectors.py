@@ -186,8 +186,10 @@ def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, plane
     )
     known = found.join(_counted(tasks, cosine), "vec_id", "left").select(F.col("vec_id").alias("rep_id"), "component", "links")
     members = rep.join(known, "rep_id", "left").select("label", "vector", F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
+    links = F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)
     return rows.join(members, ["label", "vector"], "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept")
+        "vec_id", links.cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept")
     )
 
 
