@@ -225,7 +225,11 @@ def predict_batch(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]
 
 
 def predict(frame: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and its score; the model is a table of fixed size, sent with the task."""
+    """Adds the predicted language and its score, in place of columns of these names.
+
+    The model is a table of fixed size, sent with the task.
+    """
+    frame = frame.drop(lang, score)
     sent = frame.sparkSession.sparkContext.broadcast(model)
     names = frame.columns
 

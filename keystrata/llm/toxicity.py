@@ -163,7 +163,11 @@ def score_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[list[di
 
 
 def score(frame: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds score and the offending sentences; the model has a fixed size and goes with the tasks."""
+    """Adds score and the offending sentences, in place of columns of these names.
+
+    The model has a fixed size and goes with the tasks.
+    """
+    frame = frame.drop("score", "offending")
     sent = frame.sparkSession.sparkContext.broadcast(model)
     names = frame.columns
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
