@@ -5,32 +5,30 @@
     <root>/<table>/active            the name of the snapshot that readers get
 
 A snapshot never changes once it is written. A commit writes a new one and then replaces the pointer, so a reader
-sees one or the other, and what it has planned keeps reading the files it was planned on.
-
-Sidecar files are small and go through the file system that the driver sees; data goes through Spark.
+sees one or the other, and what it has planned keeps reading the files it was planned on. The root may be in any file
+system that Spark reads; releases are copied by Spark's tasks, not by the driver.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrata.operators import inverted, kv
+from keystrata.plans.storage import Storage
 from keystrata.sources.schema import TableSchema, parse_schema
 
 KINDS = ("kv", "inverted")
-ACTIVE = "active"
 SKIPPED_SUFFIX = "~reload"
+SIDES = ("schema.json", "table.json")
 
 
 class CatalogError(RuntimeError):
@@ -38,18 +36,11 @@ class CatalogError(RuntimeError):
 
 
 def check_name(name: str) -> str:
-    if not name or "/" in name or "\\" in name or name.startswith("."):
+    if not name or "/" in name or "\\" in name or name[0] in "._":
         raise CatalogError(f"bad table name: {name!r}")
     return name
 
 
-def replace_file(path: Path, text: str) -> None:
-    """Writes a file so that readers see the old text or the new one."""
-    temporary = path.with_name(path.name + ".tmp")
-    temporary.write_text(text, encoding="utf-8")
-    os.replace(temporary, path)
-
-
 def new_build_id(taken: Callable[[str], bool], now: float | None = None) -> str:
     """A local time stamp; -1, -2 and so on follow while it is taken."""
     base = time.strftime("%Y%m%d%H%M%S", time.localtime(now))
@@ -74,14 +65,14 @@ class Snapshot:
     schema: TableSchema
     kind: str
     build_id: str
-    path: Path
+    path: str
     buckets: int
     meta: dict
     spark: SparkSession
 
     @property
     def rows(self) -> DataFrame:
-        frame = self.spark.read.parquet(str(self.path / "data"))
+        frame = self.spark.read.parquet(f"{self.path}/data")
         # A schema may have renamed or added fields since: columns are found by their number.
         stored = self.meta.get("columns", {})
         out = []
@@ -95,7 +86,7 @@ class Snapshot:
     def postings(self) -> DataFrame:
         if self.kind != "inverted":
             raise CatalogError(f"{self.schema.name} has no postings")
-        return self.spark.read.parquet(str(self.path / "postings"))
+        return self.spark.read.parquet(f"{self.path}/postings")
 
     def get(self, key: object) -> kv.Answer:
         if key is None or str(key) == "":
@@ -104,20 +95,30 @@ class Snapshot:
         return kv.Answer(bool(rows), row=rows[0] if rows else None)
 
 
+def write_data(rows: DataFrame, path: str, key: str) -> None:
+    """Rows with their bucket as Parquet: a folder for each bucket, sorted by key, with a Bloom filter on it."""
+    out = rows.repartition(kv.BUCKET).sortWithinPartitions(kv.BUCKET, key)
+    out.write.mode("overwrite").partitionBy(kv.BUCKET).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+
+
+def write_postings(index: DataFrame, path: str) -> None:
+    index.repartitionByRange("field_id", "term").sortWithinPartitions("field_id", "term", "key").write.mode("overwrite").parquet(path)
+
+
 class Table:
     """A table of a catalog."""
 
     def __init__(self, catalog: Catalog, name: str) -> None:
-        self.catalog, self.name, self.root = catalog, name, catalog.root / name
+        self.catalog, self.name, self.root, self.files = catalog, name, f"{catalog.root}/{name}", catalog.files
 
     # ------------------------------------------------ versions
 
     def versions(self) -> list[str]:
-        return sorted(p.name for p in self.root.iterdir() if p.is_dir() and not p.name.startswith(".") and p.name != ACTIVE)
+        return self.files.folders(self.root)
 
     def active(self) -> str | None:
-        pointer = self.root / ACTIVE
-        return pointer.read_text(encoding="utf-8").strip() if pointer.exists() else None
+        pointer = f"{self.root}/active"
+        return self.files.read(pointer).strip() if self.files.exists(pointer) else None
 
     def switch(self, build_id: str | None = None) -> str:
         """Makes a version the active one; the latest by name if none is given."""
@@ -125,7 +126,7 @@ class Table:
         build_id = build_id or max(versions, default=None)
         if build_id not in versions:
             raise CatalogError(f"{self.name} has no version {build_id}")
-        replace_file(self.root / ACTIVE, build_id)
+        self.files.replace(f"{self.root}/active", build_id)
         return build_id
 
     def prune(self, keep: int) -> list[str]:
@@ -134,21 +135,21 @@ class Table:
         stay = kept_builds(self.versions(), keep, current)
         gone = [v for v in self.versions() if v not in stay]
         for v in gone:
-            shutil.rmtree(self.root / v)
+            self.files.delete(f"{self.root}/{v}")
         return gone
 
     # ------------------------------------------------ reading
 
     def schema(self) -> TableSchema:
-        return parse_schema((self.root / "schema.json").read_text(encoding="utf-8"))
+        return parse_schema(self.files.read(f"{self.root}/schema.json"))
 
     def acquire(self, build_id: str | None = None) -> Snapshot:
         """The active version, which the caller keeps whatever is committed later."""
         build_id = build_id or self.active()
         if build_id is None:
             raise CatalogError(f"{self.name} has no version yet")
-        path = self.root / build_id
-        meta = json.loads((path / "meta.json").read_text(encoding="utf-8"))
+        path = f"{self.root}/{build_id}"
+        meta = json.loads(self.files.read(f"{path}/meta.json"))
         return Snapshot(self.schema(), meta["kind"], build_id, path, meta["buckets"], meta, self.catalog.spark)
 
     def view(self) -> str:
@@ -165,17 +166,13 @@ class Table:
         if not self.catalog.exclusive:
             yield
             return
-        path = self.root / ".lock"
+        path = f"{self.root}/.lock"
+        if not self.files.create(path, str(os.getpid()), False):
+            raise CatalogError(f"{self.name} is locked by another writer")
         try:
-            handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            raise CatalogError(f"{self.name} is locked by another writer") from None
-        try:
-            os.write(handle, str(os.getpid()).encode())
             yield
         finally:
-            os.close(handle)
-            path.unlink()
+            self.files.delete(path)
 
     def commit(self, rows: DataFrame, *, activate: bool = True, build_id: str | None = None, extra: dict | None = None) -> str:
         """Writes rows (one a key) as a new version and makes it the active one.
@@ -187,27 +184,22 @@ class Table:
 
     def _write(self, rows: DataFrame, activate: bool, build_id: str | None, extra: dict) -> str:
         schema, kind = self.schema(), self._kind()
-        build_id = build_id or new_build_id(lambda b: (self.root / b).exists())
-        path = self.root / build_id
-        draft = self.root / f".{build_id}"
-        buckets = self.catalog.buckets
-        out = rows.select(*schema.names).withColumn(kv.BUCKET, kv.bucket_of(F.col(schema.key), buckets))
-        out = out.repartition(kv.BUCKET).sortWithinPartitions(kv.BUCKET, schema.key)
-        out.write.mode("overwrite").partitionBy(kv.BUCKET).option("parquet.bloom.filter.enabled#" + schema.key, "true").parquet(str(draft / "data"))
-        written = self.catalog.spark.read.schema(schema.struct_type().add(kv.BUCKET, T.IntegerType())).parquet(str(draft / "data"))
+        build_id = build_id or new_build_id(lambda b: self.files.exists(f"{self.root}/{b}"))
+        draft = f"{self.root}/.{build_id}"
+        write_data(rows.select(*schema.names).withColumn(kv.BUCKET, kv.bucket_of(F.col(schema.key), self.catalog.buckets)), f"{draft}/data", schema.key)
+        written = self.catalog.spark.read.schema(schema.struct_type().add(kv.BUCKET, T.IntegerType())).parquet(f"{draft}/data")
         if kind == "inverted":
-            index = inverted.postings(written, schema)
-            index.repartitionByRange("field_id", "term").sortWithinPartitions("field_id", "term", "key").write.mode("overwrite").parquet(str(draft / "postings"))
-        size = sum(p.stat().st_size for p in draft.rglob("*.parquet"))
-        meta = {"kind": kind, "build_id": build_id, "buckets": buckets, "record_count": written.count(), "bytes": size, "columns": {str(f.number): f.name for f in schema.fields}, **extra}
-        replace_file(draft / "meta.json", json.dumps(meta, indent=2))
-        os.replace(draft, path)
+            write_postings(inverted.postings(written, schema), f"{draft}/postings")
+        # The count comes from the footers that were just written.
+        meta = {"kind": kind, "build_id": build_id, "buckets": self.catalog.buckets, "record_count": written.count(), "bytes": self.files.bytes(draft), "columns": {str(f.number): f.name for f in schema.fields}, **extra}
+        self.files.replace(f"{draft}/meta.json", json.dumps(meta, indent=2))
+        self.files.move(draft, f"{self.root}/{build_id}")
         if activate:
-            replace_file(self.root / ACTIVE, build_id)
+            self.files.replace(f"{self.root}/active", build_id)
         return build_id
 
     def _kind(self) -> str:
-        return json.loads((self.root / "table.json").read_text(encoding="utf-8"))["kind"]
+        return json.loads(self.files.read(f"{self.root}/table.json"))["kind"]
 
     def _base(self) -> DataFrame:
         if self.active() is None:
@@ -230,7 +222,7 @@ class Table:
     def evolve(self, schema: TableSchema) -> None:
         """Replaces the schema by one that adds, renames or drops fields."""
         self.schema().evolve(schema)
-        replace_file(self.root / "schema.json", schema.to_json())
+        self.files.replace(f"{self.root}/schema.json", schema.to_json())
 
 
 class Catalog:
@@ -239,24 +231,25 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str, *, buckets: int = 16, exclusive: bool = True) -> None:
         if not root:
             raise CatalogError("a catalog needs a path")
-        self.spark, self.root, self.buckets, self.exclusive = spark, Path(root), buckets, exclusive
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.root, self.buckets, self.exclusive = spark, str(root).rstrip("/"), buckets, exclusive
+        self.files = Storage(spark)
+        self.files.make(self.root)
 
     def tables(self) -> list[str]:
         """Names of tables; folders of unfinished reloads and hidden ones are none."""
-        return sorted(p.name for p in self.root.iterdir() if p.is_dir() and not p.name.startswith(".") and not p.name.endswith(SKIPPED_SUFFIX) and (p / "schema.json").exists())
+        return [n for n in self.files.folders(self.root) if not n.endswith(SKIPPED_SUFFIX) and self.files.exists(f"{self.root}/{n}/schema.json")]
 
     def create(self, name: str, schema: TableSchema, kind: str = "kv") -> Table:
         check_name(name)
         if kind not in KINDS:
             raise CatalogError(f"unknown kind {kind}")
-        folder = self.root / name
-        if folder.exists():
+        folder = f"{self.root}/{name}"
+        if self.files.exists(folder):
             raise CatalogError(f"{name} exists")
         schema.validate()
-        folder.mkdir()
-        replace_file(folder / "table.json", json.dumps({"kind": kind}))
-        replace_file(folder / "schema.json", schema.to_json())
+        self.files.make(folder)
+        self.files.replace(f"{folder}/table.json", json.dumps({"kind": kind}))
+        self.files.replace(f"{folder}/schema.json", schema.to_json())
         return Table(self, name)
 
     def open(self, name: str, kind: str | None = None) -> Table:
@@ -271,43 +264,49 @@ class Catalog:
 
     def build(self, name: str, schema: TableSchema, rows: DataFrame, kind: str = "kv") -> Table:
         """Rebuilds a table from nothing."""
-        if (self.root / check_name(name)).exists():
-            shutil.rmtree(self.root / name)
+        self.files.delete(f"{self.root}/{check_name(name)}")
         table = self.create(name, schema, kind)
         table.commit(rows)
         return table
 
+    def _copy(self, source: str, target: str, schema: TableSchema) -> None:
+        """A version to another place: data and postings by Spark, then the small files, then its name."""
+        folder, name = target.rsplit("/", 1)
+        draft = f"{folder}/.{name}"
+        self.files.delete(draft)
+        write_data(self.spark.read.parquet(f"{source}/data"), f"{draft}/data", schema.key)
+        if self.files.exists(f"{source}/postings"):
+            write_postings(self.spark.read.parquet(f"{source}/postings"), f"{draft}/postings")
+        self.files.replace(f"{draft}/meta.json", self.files.read(f"{source}/meta.json"))
+        for side in SIDES:
+            at = f"{source}/{side}" if self.files.exists(f"{source}/{side}") else f"{source.rsplit('/', 1)[0]}/{side}"
+            self.files.replace(f"{draft}/{side}", self.files.read(at))
+        self.files.delete(target)
+        self.files.move(draft, target)
+
     def publish(self, name: str, store: str, build_id: str | None = None) -> str:
         """Copies the active version of a table to a release store and names the release."""
-        table = self.open(name)
-        source = table.acquire()
-        target = Path(store) / name
-        target.mkdir(parents=True, exist_ok=True)
-        build_id = build_id or new_build_id(lambda b: (target / b).exists())
-        draft = target / f".{build_id}"
-        shutil.copytree(source.path, draft)
-        for side in ("schema.json", "table.json"):
-            shutil.copy(table.root / side, draft / side)
-        os.replace(draft, target / build_id)
+        source = self.open(name).acquire()
+        target = f"{store.rstrip('/')}/{name}"
+        self.files.make(target)
+        build_id = build_id or new_build_id(lambda b: self.files.exists(f"{target}/{b}"))
+        self._copy(source.path, f"{target}/{build_id}", source.schema)
         return build_id
 
     def deploy(self, name: str, store: str, build_id: str | None = None, keep: int = 2, refresh: bool = False) -> str:
         """Takes a release (the latest if none is named) into this catalog, prunes and switches to it."""
-        source = Path(store) / check_name(name)
-        found = sorted(p.name for p in source.iterdir() if p.is_dir() and not p.name.startswith(".")) if source.exists() else []
+        source = f"{store.rstrip('/')}/{check_name(name)}"
+        found = self.files.folders(source)
         build_id = build_id or max(found, default=None)
         if build_id not in found:
             raise CatalogError(f"no release {build_id} of {name}")
-        folder = self.root / name
-        folder.mkdir(exist_ok=True)
-        if refresh or not (folder / build_id).exists():
-            draft = folder / f".{build_id}"
-            shutil.rmtree(draft, ignore_errors=True)
-            shutil.copytree(source / build_id, draft)
-            for side in ("schema.json", "table.json"):
-                os.replace(draft / side, folder / side)
-            shutil.rmtree(folder / build_id, ignore_errors=True)
-            os.replace(draft, folder / build_id)
+        folder = f"{self.root}/{name}"
+        self.files.make(folder)
+        schema = parse_schema(self.files.read(f"{source}/{build_id}/schema.json"))
+        if refresh or not self.files.exists(f"{folder}/{build_id}"):
+            self._copy(f"{source}/{build_id}", f"{folder}/{build_id}", schema)
+        for side in SIDES:
+            self.files.replace(f"{folder}/{side}", self.files.read(f"{folder}/{build_id}/{side}"))
         table = Table(self, name)
         table.switch(build_id)
         if keep:

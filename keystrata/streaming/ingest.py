@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import cdc
-from keystrata.plans.catalog import Table, replace_file
+from keystrata.plans.catalog import Table
 from keystrata.plans.metrics import Registry
 from keystrata.plans.settings import StreamSource
 
@@ -69,7 +69,7 @@ def apply_batch(table: Table, messages: DataFrame, batch: int | None = None, met
         return None
     parsed = cdc.parse(messages, schema)
     build = table.commit(cdc.fold(parsed, schema, base), extra={"stream": {"batch": -1 if batch is None else batch, "offset": state["last"]}})
-    replace_file(table.root / "kafka.offset", str(state["last"]))
+    table.files.replace(f"{table.root}/kafka.offset", str(state["last"]))
     if metrics is not None:
         bad = {r["status"]: r["n"] for r in parsed.groupBy("status").agg(F.count("*").alias("n")).collect()}
         metrics["kafka_messages_consumed_total"].add(table.name, by=state["n"])
@@ -109,5 +109,5 @@ def catch_up(table: Table, messages: DataFrame, checkpoint: str, source: StreamS
         "topic": source.topic, "partition": source.partition, "brokers": source.brokers, "offline_watermark_sec": watermark_sec,
         "rewind_minutes": rewind_minutes, "last_committed_offset": offset, "catchup_completed_unix": int(time.time()),
     }
-    replace_file(table.root / "kafka_meta.json", json.dumps(meta, indent=2))
+    table.files.replace(f"{table.root}/kafka_meta.json", json.dumps(meta, indent=2))
     return meta

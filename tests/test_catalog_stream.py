@@ -173,8 +173,8 @@ def test_stream_batches_and_replays(spark, tmp_path):
     meta = ingest.catch_up(t, ingest.file_messages(spark, str(folder)), str(tmp_path / "cp"), source, 1_700_000_000, 5)
     rows = {r.user_id: (r.age, r.clicks) for r in t.acquire().rows.collect()}
     assert rows == {1: (7, [1, 2])}
-    assert meta["last_committed_offset"] == 4 and (t.root / "kafka.offset").read_text() == "4"
-    assert json.loads((t.root / "kafka_meta.json").read_text())["rewind_minutes"] == 5
+    assert meta["last_committed_offset"] == 4 and t.files.read(f"{t.root}/kafka.offset") == "4"
+    assert json.loads(t.files.read(f"{t.root}/kafka_meta.json"))["rewind_minutes"] == 5
     again = spark.createDataFrame([(3, json.dumps({"user_id": 1, "clicks": [2]}))], "offset long, value string")
     assert ingest.apply_batch(t, again, batch=1) is None
     assert t.acquire().get(1).row.clicks == [1, 2]
