@@ -37,7 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 UNKNOWN = 10.0
 MARK = "▁"
-REMEMBERED = 150_000
+REMEMBERED = 200_000
+
+
+#: Words up to this length, of characters below 256, are solved together; others one by one.
+_SOLVED = 64
+_MARK_COLUMN = 256
+_foreign = re.compile(f"[^\u0000-\u00ff{MARK}]").search
 
 
 class Vocabulary:
@@ -70,6 +76,31 @@ class Vocabulary:
             raise ValueError("the vocabulary has no byte pieces, so not every text can be encoded")
         self.known: dict = {}
         self.older: dict = {}
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The prefixes as a transition table over the characters below 256 and the mark, for solve()."""
+        column = lambda c: _MARK_COLUMN if c == MARK else ord(c) if c < "\u0100" else -1
+        step: dict[tuple[int, int], int] = {}
+        scores, ids = [-np.inf, -np.inf], [-1, -1]
+        for p, i in self.id.items():
+            columns = [column(c) for c in p]
+            if min(columns) < 0:
+                continue
+            node = 1
+            for c in columns:
+                if (node, c) not in step:
+                    step[node, c] = len(scores)
+                    scores.append(-np.inf)
+                    ids.append(-1)
+                node = step[node, c]
+            scores[node], ids[node] = self.score[p], i
+        self.step = np.zeros((len(scores), _MARK_COLUMN + 1), np.int32)
+        for (node, c), to in step.items():
+            self.step[node, c] = to
+        self.node_score, self.node_id = np.array(scores), np.array(ids, np.int32)
+        #: What a character without a piece costs, 0 for one that has a piece.
+        self.lone = np.array([0.0 if self.prefix.get(c) else self.fallback * len(c.encode()) for c in [*map(chr, range(256)), MARK]])
 
     def _recall(self, key):
         """What is remembered; what is in use passes from the older table to the present one."""
@@ -160,6 +191,94 @@ class Vocabulary:
                 loss = best[-1] - other
         return best[-1], np.array(ids, np.int32).tobytes(), loss
 
+    def solve(self, words: list[str], second: bool) -> None:
+        """Remembers best_of() of many words, a place of all of them at a time; the arithmetic is that of lattice()."""
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            for w, got in zip(part, self._solved(part, second), strict=True):
+                self._remember(w, got)
+
+    def _solved(self, words: list[str], second: bool) -> list[tuple]:
+        n, long = len(words), np.array([len(w) for w in words])
+        x = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
+        x[x == ord(MARK)] = _MARK_COLUMN
+        at = np.zeros((n, long.max()), np.int32)
+        at[np.arange(at.shape[1]) < long[:, None]] = x
+        best = np.full((n, at.shape[1] + 1), -np.inf)
+        best[:, 0] = 0.0
+        before, via, edges = np.zeros(best.shape, np.int16), np.zeros(best.shape, np.int32), []
+
+        def reach(start: int, end: int, who: np.ndarray, s: np.ndarray, what: np.ndarray) -> None:
+            total = best[who, start] + s
+            more = total > best[who, end]
+            w = who[more]
+            best[w, end], before[w, end], via[w, end] = total[more], start, what[more]
+            edges.append((start, end, who, s))
+
+        for start in range(at.shape[1]):
+            all_ = who = np.flatnonzero(long > start)
+            node, end = np.ones(len(who), np.int32), start
+            while len(who):
+                node = self.step[node, at[who, end]]
+                who, node = who[node > 0], node[node > 0]
+                end += 1
+                s = self.node_score[node]
+                piece = s > -np.inf
+                if piece.any():
+                    reach(start, end, who[piece], s[piece], self.node_id[node[piece]])
+                more = long[who] > end
+                who, node = who[more], node[more]
+            lone = all_[self.lone[at[all_, start]] < 0]
+            if len(lone):
+                reach(start, start + 1, lone, self.lone[at[lone, start]], -1 - at[lone, start])
+        # Back along the best paths; `to` is where the path's edge from a place ends.
+        to, rows, places, kinds = np.zeros(at.shape, np.int16), [], [], []
+        who, place = np.arange(n), long.copy()
+        while len(who):
+            start = before[who, place].astype(np.int64)
+            to[who, start] = place
+            rows.append(who)
+            places.append(place)
+            kinds.append(via[who, place])
+            who, place = who[start > 0], start[start > 0]
+        rows, places, kinds = map(np.concatenate, (rows, places, kinds))
+        order = np.lexsort((places, rows))
+        rows, kinds = rows[order], kinds[order]
+        loss = np.full(n, np.inf)
+        if second:
+            back, other = np.full(best.shape, -np.inf), np.full(n, -np.inf)
+            back[np.arange(n), long] = 0.0
+            for start, end, who, s in reversed(edges):
+                v = s + back[who, end]
+                back[who, start] = np.maximum(back[who, start], v)
+                off = to[who, start] != end
+                w = who[off]
+                other[w] = np.maximum(other[w], best[w, start] + v[off])
+            loss = np.where(np.isfinite(other), best[np.arange(n), long] - other, np.inf)
+        cut = np.searchsorted(rows, np.arange(n + 1)).tolist()
+        odd = set(rows[kinds < 0].tolist())
+        total, loss = best[np.arange(n), long].tolist(), loss.tolist()
+        out = []
+        for i in range(n):
+            ids = kinds[cut[i] : cut[i + 1]]
+            if i in odd:
+                ids = np.array([b for k in ids.tolist() for b in ([k] if k >= 0 else self._bytes(-1 - k))], np.int32)
+            out.append((total[i], ids.tobytes(), loss[i] if second else None))
+        return out
+
+    def _bytes(self, column: int) -> list[int]:
+        return [self.byte[b] for b in (MARK if column == _MARK_COLUMN else chr(column)).encode()]
+
+    def learn(self, texts: list[str | None], second: bool) -> None:
+        """Solves the words of these texts that are not remembered, all at once."""
+        seen = set()
+        for t in texts:
+            if t and MARK not in t:
+                seen.update(_split(MARK + t.replace(" ", MARK)))
+        fresh = [w for w in seen if (got := self._recall(w)) is None or (second and got[2] is None)]
+        plain = sorted((w for w in fresh if len(w) <= _SOLVED and not _foreign(w)), key=len)
+        self.solve(plain, second)
+
     # ------------------------------------------------ texts
 
     @staticmethod
@@ -275,15 +394,18 @@ _ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(
 def encode(frame: DataFrame, text: str = "text", nbest: int = NBEST, model: str = MODEL) -> DataFrame:
     """Adds pieces, piece_score and alternatives, the 2nd to nbest-th segmentations as edits of the first.
 
-    The model file is read where the work is done, by the path given.
+    Columns of these names give way. The model file is read where the work is done, by the path given.
     """
+    frame = frame.drop("pieces", "piece_score", "alternatives")
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in (p for whole in batches for p in slices(whole, text, 1 << 20)):
             scores, flat, bounds, others, gone = [], [], [0], [], []
-            for t in batch[text].to_pylist():
+            texts = batch[text].to_pylist()
+            v.learn(texts, nbest > 1)
+            for t in texts:
                 score, ids, more = v.encode(t or "", nbest)
                 gone.append(t is None)
                 scores.append(None if t is None else score)
@@ -300,6 +422,7 @@ def encode(frame: DataFrame, text: str = "text", nbest: int = NBEST, model: str
 
 def decode(frame: DataFrame, column: str = "pieces", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """Adds the text of a column of pieces; null pieces give a null text."""
+    frame = frame.drop(out)
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
