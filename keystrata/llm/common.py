@@ -5,6 +5,7 @@ Words are maximal runs of bytes outside space and 0x09-0x0D, as everywhere in th
 
 from __future__ import annotations
 
+import gc
 import uuid
 from dataclasses import dataclass
 
@@ -42,6 +43,15 @@ def written(frame: DataFrame, folder: str, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, on which Spark deletes shuffle files of jobs that are over.
+
+    Between the jobs of one operator nothing else would free them, and disks would hold the shuffles of all jobs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table of the shared folder."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

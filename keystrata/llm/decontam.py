@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import U, mix, pieces, shared_folder, table, words_of, written
+from keystrata.llm.common import U, mix, pieces, release, shared_folder, table, words_of, written
 
 #: The seeds.
 MASKS = ("1101100110101", "1011001101011", "1110010100111")
@@ -101,7 +101,7 @@ def _item_seeds(items: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
 def _bitmap(seeds: DataFrame) -> np.ndarray:
     """Two bits for each hash. What comes to the driver is the map itself, at most 2 ** MOST_BITS bits."""
     n = seeds.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, int(32 * max(1, n)).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(1024 * max(1, n)).bit_length()))
     h = F.col("hash")
     probe = F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND((1 << bits) - 1)))
     cells = seeds.select(probe.alias("bit")).select(F.shiftright("bit", 5).alias("cell"), F.expr("shiftleft(1L, cast(bit & 31 as int))").alias("mask"))
@@ -143,7 +143,7 @@ def _regions(docs: DataFrame, masks: list[tuple[int, str]], bitmap: np.ndarray)
                 lo, hi = w.bounds[owner[a]], w.bounds[owner[a] + 1]
                 first, last = max(lo, place[a] - AROUND), min(hi, place[b - 1] + len(MASKS[0]) + AROUND)
                 if ids[owner[a]] is not None:
-                    out.append((ids[owner[a]], int(first - lo), h[first:last].tobytes(), (place[a:b] - lo).tolist(), value[a:b].tolist()))
+                    out.append((ids[owner[a]], int(first - lo), _short(h[first:last]), (place[a:b] - lo).tolist(), value[a:b].tolist()))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "region", "words", "places", "hashes"])
@@ -151,6 +151,11 @@ def _regions(docs: DataFrame, masks: list[tuple[int, str]], bitmap: np.ndarray)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, region long, words binary, places array<long>, hashes array<long>")
 
 
+def _short(h: np.ndarray) -> bytes:
+    """Half of each word's hash, which is enough to compare words place by place."""
+    return (h >> U(32)).astype(np.uint32).tobytes()
+
+
 def overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
     """Best stretch of a against b, b's word 0 lying at a's word shift: start in a, length, matches."""
     lo, hi = max(0, shift), min(len(a), shift + len(b))
@@ -175,13 +180,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     regions = written(_regions(docs, masks, _bitmap(seeds)), folder, "regions")
     hits = regions.select("doc_id", "region", F.explode(F.arrays_zip("places", "hashes")).alias("hit")).select("doc_id", "region", F.col("hit.places").alias("at"), F.col("hit.hashes").alias("hash"))
     shifts = hits.join(seeds, "hash").select("doc_id", "region", "item_id", (F.col("at") - F.col("place") - F.col("region")).alias("shift")).distinct()
-    pairs = shifts.join(regions.select("doc_id", "region", "words").distinct(), ["doc_id", "region"]).join(known.withColumnRenamed("words", "item"), "item_id")
+    # Regions of repeated rows are compared twice; the aggregate below makes one row of them.
+    pairs = shifts.join(regions.select("doc_id", "region", "words"), ["doc_id", "region"]).join(known.withColumnRenamed("words", "item"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, region, item, n, copies, shift, a, b in zip(*(batch[c].to_pylist() for c in ("doc_id", "region", "item_id", "n_words", "n_items", "shift", "words", "item")), strict=True):
-                start, long, same = overlap(np.frombuffer(a, U), np.frombuffer(b, U), shift)
+                start, long, same = overlap(np.frombuffer(a, np.uint32), np.frombuffer(_short(np.frombuffer(b, U)), np.uint32), shift)
                 if same >= LEAST and (same >= SHARE * n or same >= LONG):
                     out.append((doc, item, copies, n, same, long, region + start))
             if out:
@@ -200,4 +206,7 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak a benchmark item go."""
     bad = leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
+    # As a table its size is known, and Spark need not shuffle the texts to join a short list.
+    bad = written(bad, shared_folder(spark), "leaking")
+    release(spark)
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
