@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER, U, block_count, pieces, shared_folder, shuffle_partitions, table, window_hashes, words_of, written
+from keystrata.llm.common import LOWER, U, block_count, pieces, release, remove, shared_folder, shuffle_partitions, table, window_hashes, words_of, written
 from keystrata.llm.graph import components
 
 WORDS = 5
@@ -79,17 +79,16 @@ def _members(signatures: DataFrame) -> DataFrame:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Sorted 32-bit values as their first one and gaps of 16 bits, or plain where a gap is larger."""
+    """Sorted numbers (one at least) as the first one and gaps, in the least width that holds every gap."""
     gaps = np.diff(values)
-    if len(values) and (not len(gaps) or gaps.max() < 65536):
-        return b"\1" + values[:1].tobytes() + gaps.astype(np.uint16).tobytes()
-    return b"\0" + values.tobytes()
+    most = int(gaps.max()) if len(gaps) else 0
+    width = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + values[:1].tobytes() + gaps.astype(f"<u{width}").tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"\1":
-        return np.concatenate([np.frombuffer(blob, np.uint32, 1, 1), np.frombuffer(blob, np.uint16, -1, 5)]).cumsum(dtype=np.uint32)
-    return np.frombuffer(blob, np.uint32, -1, 1)
+    gaps = np.frombuffer(blob, f"<u{blob[0]}", -1, 9).astype(U)
+    return np.concatenate([np.frombuffer(blob, U, 1, 1), gaps]).cumsum(dtype=U)
 
 
 def _candidates(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -100,7 +99,11 @@ def _candidates(docs: DataFrame, members: DataFrame, words: int, percent: int) -
     pid = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("pid")
     texts = docs.where("doc_id IS NOT NULL").select(pid, "doc_id", "text")
     chosen = members.where("n_shingles > 0 AND doc_id = rep_id").select(pid, F.col("doc_id").alias("rep_id")).distinct()
-    step = (1 << 32) / buckets
+    # Counting needs the top bits of hashes only: 32 times as many numbers as there are shingles, so that few share one.
+    shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = min(60, max(32, int(shingles).bit_length() + 5))
+    short = lambda s: s >> U(64 - bits)
+    step = (1 << bits) / buckets
 
     def own_sets(texts: pa.Table, reps: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         wanted = set(reps.to_pylist())
@@ -121,7 +124,7 @@ def _candidates(docs: DataFrame, members: DataFrame, words: int, percent: int) -
     def ask(texts: pa.Table, reps: pa.Table) -> pa.Table:
         if not texts.num_rows or not reps.num_rows:
             return empty.empty_table()
-        sets = [(s >> U(32)).astype(np.uint32) for _, s in own_sets(texts, reps["rep_id"])]
+        sets = [short(s) for _, s in own_sets(texts, reps["rep_id"])]
         values, times = np.unique(np.concatenate(sets), return_counts=True)
         number = (values / step).astype(np.int64)
         cut = np.searchsorted(number, np.arange(buckets + 1))
@@ -151,14 +154,14 @@ def _candidates(docs: DataFrame, members: DataFrame, words: int, percent: int) -
         if not texts.num_rows or not told.num_rows:
             return result.empty_table()
         blobs = [(v, t) for v, t in zip(told["vals"].to_pylist(), told["times"].to_pylist(), strict=True) if v]
-        values = np.concatenate([np.frombuffer(v, np.uint32) for v, _ in blobs] or [np.empty(0, np.uint32)])
+        values = np.concatenate([np.frombuffer(v, U) for v, _ in blobs] or [np.empty(0, U)])
         times = np.concatenate([np.frombuffer(t, np.uint16) for _, t in blobs] or [np.empty(0, np.uint16)])
         order = np.argsort(values)
         values, times = values[order], times[order]
         rows: list[tuple] = []
         if len(values):
             for doc, s in own_sets(texts, told["rep_id"].drop_null()):
-                top = (s >> U(32)).astype(np.uint32)
+                top = short(s)
                 at = np.minimum(np.searchsorted(values, top), len(values) - 1)
                 df = np.where(values[at] == top, times[at], 1)
                 if df.max() < 2:
@@ -351,8 +354,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    members = written(_members(_signatures(docs, words)), folder, "members")
+    members = written(_members(written(_signatures(docs, words), folder, "signatures")), folder, "members")
     found = written(_candidates(docs, members, words, percent), folder, "candidates")
+    release(spark)
     keys = found.select("doc_id", F.explode("keys").alias("key"))
     center = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
     edges = keys.join(center, "key").select(F.col("doc_id").alias("u"), F.col("center").alias("v"))
@@ -369,6 +373,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         F.when(F.col("with") == -1, -1).otherwise(F.greatest("block", "with")).alias("j"),
     )
     settled = written(_settled(tasks, percent), folder, "settled")
+    remove(spark, f"{folder}/candidates")
+    release(spark)
     links = settled.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("split").alias("split"))
     if settled.where("split").limit(1).count():
         # Blocks of one cluster were settled apart: their links meet here.
@@ -388,4 +394,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keeps the document of smallest doc_id of each component; rows without doc_id stay."""
     drop = join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    # As a table its size is known: Spark broadcasts it while it is short, and shuffles the texts only beyond.
+    drop = written(drop, shared_folder(spark), "copies")
+    release(spark)
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
