@@ -113,6 +113,12 @@ def serialise(values: Iterable[int]) -> bytes:
     return MAGIC + struct.pack("<HHI", VERSION, 0, len(chunks)) + b"".join(chunks)
 
 
+def estimated_bytes(values: Iterable[int]) -> int:
+    """How long the wire form of a set is, without making it."""
+    _, counts = np.unique(np.unique(np.fromiter(values, np.int64)) >> 16, return_counts=True)
+    return 12 + int(np.where(counts > ARRAY_MOST, WORDS * 8, 2 * counts).sum()) + 12 * len(counts)
+
+
 def deserialise(data: bytes) -> np.ndarray:
     """The values of a wire format blob, ascending. Raises ValueError for anything out of form."""
 

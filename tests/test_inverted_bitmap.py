@@ -74,7 +74,9 @@ def test_set_operations(spark):
 @given(st.sets(st.integers(0, 2**32 - 1), max_size=50), st.integers(0, 70000))
 def test_wire_format_round_trip(values, dense):
     values = values | set(range(1 << 20, (1 << 20) + dense))
-    assert bitmap.deserialise(bitmap.serialise(values)).tolist() == sorted(values)
+    blob = bitmap.serialise(values)
+    assert bitmap.deserialise(blob).tolist() == sorted(values)
+    assert bitmap.estimated_bytes(values) == len(blob)
 
 
 def test_wire_format_layout_and_checks():

@@ -39,3 +39,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 500
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_operators(spark, monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("keystrata.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "keystrata.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    bare = importlib.reload(__spark_entry__)
+    assert set(bare.queries()) == set(queries.QUERIES)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)

@@ -1,8 +1,13 @@
+import socket
+
 import pytest
 
+from keystrata.functions import values
+from keystrata.plans import report
+from keystrata.plans.admin import AdminSocket
 from keystrata.plans.catalog import Catalog
 from keystrata.plans.service import Service
-from keystrata.sources import warehouse
+from keystrata.sources import generators, warehouse
 from keystrata.sources.schema import parse_schema
 
 USER = parse_schema('{"name": "user", "pk": "user_id", "fields": [{"name": "user_id", "type": "int64", "field_id": 1}, {"name": "age", "type": "int32", "field_id": 2}, {"name": "name", "type": "string", "field_id": 3}]}')
@@ -40,6 +45,29 @@ def test_batches_are_atomic(service):
     assert service.admin("reload user") == "ok" and service.admin("bye").startswith("err")
 
 
+def test_admin_socket(service, tmp_path):
+    service.put("user", {"user_id": 1})
+    path = str(tmp_path / "admin.sock")
+    with AdminSocket(service, path), socket.socket(socket.AF_UNIX) as s:
+        s.connect(path)
+        f = s.makefile("rw")
+        answers = []
+        for line in ("reload user", "reload nope", "x"):
+            f.write(line + "\n")
+            f.flush()
+            answers.append(f.readline().strip())
+    assert answers[0] == "ok" and answers[1].startswith("err: unknown table") and answers[2].startswith("err")
+
+
+def test_report(spark):
+    rows = generators.products(spark, 100)
+    good, text = report.markdown("products", rows, generators.PRODUCT, values.product_rules())
+    assert good and "| rows | 100 |" in text and "Result: PASS" in text
+    good, text = report.markdown("products", rows.unionByName(rows.limit(1).withColumn("brand_id", -rows.brand_id)), generators.PRODUCT, values.product_rules())
+    assert not good and "| bad_brand | 1 |" in text and "| duplicate_keys | 1 |" in text
+    assert not report.markdown("products", rows.drop("title"), generators.PRODUCT, {})[0]
+
+
 def test_warehouse(spark):
     spark.createDataFrame([(1, 2, "x", 5)], "USER_ID long, age int, name string, more int").createOrReplaceTempView("people")
     assert warehouse.read_table(spark, "people", USER).first().asDict() == {"user_id": 1, "age": 2, "name": "x"}
