@@ -31,6 +31,8 @@ from keystrata.llm.common import LOWER, U, binary_parts, block_count, crc_rest,
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
+#: Model partitions at most; ten thousand million distinct runs are two and a half million to each.
+MODELS = 4096
 END = 255
 END_KEY = (U(0x0123456789ABCDEF), np.uint32(0x89ABCDEF))
 
@@ -151,7 +153,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     blocks = block_count(docs, "text", BLOCK_BYTES)
     buckets = max(shuffle_partitions(docs.sparkSession), blocks)
-    models = max(4, buckets // 4)
+    # The distinct runs grow far slower than the corpus, and each model partition gets the counts of short runs.
+    models = max(4, min(buckets // 4, MODELS))
     own = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     texts = docs.select(F.pmod(F.xxhash64(own), F.lit(blocks)).cast("int").alias("pid"), "doc_id", "train", F.col("text").cast("binary").alias("text"))
 
@@ -194,8 +197,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         k1, k2, n = k1[wo], k2[wo], n[wo]
         s = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         t = [slice(a, b) for a, b in zip(wcut[:-1], wcut[1:], strict=True)]
+        some = [b for b in range(buckets) if cut[b + 1] > cut[b] or wcut[b + 1] > wcut[b]]
+        s, t = [s[b] for b in some], [t[b] for b in some]
         blobs = [[runs[x].tobytes() for x in s], [counts[x].astype(np.uint32).tobytes() for x in s], [k1[x].tobytes() for x in t], [k2[x].tobytes() for x in t], [n[x].astype(np.uint32).tobytes() for x in t]]
-        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([key[0].as_py()] * buckets, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], schema=asked)
+        return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], schema=asked)
 
     def joined(rows: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
         blobs = rows[name].to_pylist()
