@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 UNKNOWN = 10.0
 MARK = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 #: Words up to this length, of characters below 256, are solved together; others one by one.
@@ -79,7 +79,7 @@ class Vocabulary:
         self._tabulate()
 
     def _tabulate(self) -> None:
-        """The prefixes as a transition table over the characters below 256 and the mark, for solve()."""
+        """The prefixes as a transition table over the characters below 256 and the mark, for _solved()."""
         column = lambda c: _MARK_COLUMN if c == MARK else ord(c) if c < "\u0100" else -1
         step: dict[tuple[int, int], int] = {}
         scores, ids = [-np.inf, -np.inf], [-1, -1]
@@ -191,14 +191,8 @@ class Vocabulary:
                 loss = best[-1] - other
         return best[-1], np.array(ids, np.int32).tobytes(), loss
 
-    def solve(self, words: list[str], second: bool) -> None:
-        """Remembers best_of() of many words, a place of all of them at a time; the arithmetic is that of lattice()."""
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            for w, got in zip(part, self._solved(part, second), strict=True):
-                self._remember(w, got)
-
     def _solved(self, words: list[str], second: bool) -> list[tuple]:
+        """best_of() of many words, a place of all of them at a time; the arithmetic is that of lattice()."""
         n, long = len(words), np.array([len(w) for w in words])
         x = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
         x[x == ord(MARK)] = _MARK_COLUMN
@@ -269,16 +263,6 @@ class Vocabulary:
     def _bytes(self, column: int) -> list[int]:
         return [self.byte[b] for b in (MARK if column == _MARK_COLUMN else chr(column)).encode()]
 
-    def learn(self, texts: list[str | None], second: bool) -> None:
-        """Solves the words of these texts that are not remembered, all at once."""
-        seen = set()
-        for t in texts:
-            if t and MARK not in t:
-                seen.update(_split(MARK + t.replace(" ", MARK)))
-        fresh = [w for w in seen if (got := self._recall(w)) is None or (second and got[2] is None)]
-        plain = sorted((w for w in fresh if len(w) <= _SOLVED and not _foreign(w)), key=len)
-        self.solve(plain, second)
-
     # ------------------------------------------------ texts
 
     @staticmethod
@@ -290,39 +274,71 @@ class Vocabulary:
             text = text.replace(MARK, sign)
         return _split(MARK + text.replace(" ", MARK)), sign
 
+    def paths_of(self, words: set[str], sign: str | None, second: bool) -> dict[str, tuple]:
+        """best_of() of all these words; those not remembered are solved together where solve() can take them."""
+        table, fresh = {}, []
+        known = self.known
+        for w in words:
+            got = known.get(w)
+            if got is None:
+                got = self._recall(w)
+                known = self.known
+            if got is None or (second and got[2] is None) or (sign is not None and sign in w):
+                fresh.append(w)
+            else:
+                table[w] = got
+        plain, odd = [], []
+        for w in fresh:
+            (odd if len(w) > _SOLVED or _foreign(w) or (sign is not None and sign in w) else plain).append(w)
+        plain.sort(key=len)
+        for i in range(0, len(plain), 8192):
+            part = plain[i : i + 8192]
+            for w, got in zip(part, self._solved(part, second), strict=True):
+                table[w] = got
+                self._remember(w, got)
+        for w in odd:
+            # Words with the sign are not remembered, as it differs from text to text.
+            own = sign if sign is not None and sign in w else None
+            got = self.best_of(w, own, second)
+            table[w] = got if second else (*got[:2], None)
+            if own is None:
+                self._remember(w, table[w])
+        return table
+
     def encode(self, text: str, nbest: int) -> tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """Score and pieces of the best segmentation, and for the following ones their score and edits.
 
         An edit is (start, length, pieces): that many pieces of the best segmentation give way to these.
         """
-        if not text:
+        return self.encode_all([text], nbest)[0]
+
+    def encode_all(self, texts: list[str | None], nbest: int) -> list[tuple]:
+        """encode() of many texts; a null one counts as empty."""
+        split = [self.words(t) if t else ([], None) for t in texts]
+        usual = set().union(*[w for w, sign in split if sign is None])
+        table = self.paths_of(usual, None, nbest > 1)
+        return [self._joined(w, sign, table if sign is None else self.paths_of(set(w), sign, nbest > 1), nbest) for w, sign in split]
+
+    def _joined(self, words: list[str], sign: str | None, table: dict[str, tuple], nbest: int) -> tuple:
+        if not words:
             return 0.0, np.empty(0, np.int32), []
-        words, sign = self.words(text)
-        known, second, found = self.known, nbest > 1, []
-        for w in words:
-            # Words with the sign are not remembered, as it differs from text to text.
-            got = known.get(w) or self._recall(w)
-            if got is None or (second and got[2] is None):
-                if sign is not None and sign in w:
-                    got = self.best_of(w, sign, second)
-                else:
-                    got = self.best_of(w, None, second)
-                    self._remember(w, got if second else (*got[:2], None))
-                    known = self.known
-            found.append(got)
+        found = [table[w] for w in words]
         ids = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
         score = sum([f[0] for f in found])
         if nbest < 2:
             return score, ids, []
-        near = heapq.nsmallest(nbest - 1, ((f[2], i) for i, f in enumerate(found) if f[2] < float("inf")))
+        losses = np.array([f[2] for f in found])
+        near = np.argsort(losses, kind="stable")[: nbest - 1]
+        near = near[np.isfinite(losses[near])].tolist()
         if not near:
             return score, ids, []
-        options = [(i, self._losses(words[i], sign, nbest, found[i])) for _, i in near]
-        first = np.concatenate([[0], np.cumsum([len(f[1]) // 4 for f in found])])
-        return score, ids, [
-            (score - loss, sorted((int(first[options[k][0]]), len(found[options[k][0]][1]) // 4, list(options[k][1][c][1])) for k, c in enumerate(choice) if c))
-            for loss, choice in self._combined([o for _, o in options], nbest)[1:]
-        ]
+        first = np.cumsum([0] + [len(f[1]) for f in found]) // 4
+        options = [self._losses(words[i], sign, nbest, found[i]) for i in near]
+        more = []
+        for loss, choice in self._combined(options, nbest)[1:]:
+            edits = [(int(first[i]), len(found[i][1]) // 4, list(o[c][1])) for i, o, c in zip(near, options, choice, strict=True) if c]
+            more.append((score - loss, sorted(edits)))
+        return score, ids, more
 
     def _losses(self, word: str, sign: str | None, nbest: int, found: tuple) -> list[tuple[float, tuple[int, ...]]]:
         """Losses and pieces of the nbest paths of a word; the first is the best path that best_of() gave."""
@@ -404,9 +420,7 @@ def encode(frame: DataFrame, text: str = "text", nbest: int = NBEST, model: str
         for batch in (p for whole in batches for p in slices(whole, text, 1 << 20)):
             scores, flat, bounds, others, gone = [], [], [0], [], []
             texts = batch[text].to_pylist()
-            v.learn(texts, nbest > 1)
-            for t in texts:
-                score, ids, more = v.encode(t or "", nbest)
+            for t, (score, ids, more) in zip(texts, v.encode_all(texts, nbest), strict=True):
                 gone.append(t is None)
                 scores.append(None if t is None else score)
                 flat.append(ids)

@@ -48,7 +48,6 @@ def test_odd_texts_read_back(text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text_reads_back(text):
-    V.learn([text], True)
     assert V.decode(V.encode(text, 2)[1].tolist()) == text
 
 
