@@ -58,10 +58,20 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_apart(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """A join for which both sides are always shuffled anew, also where one has just been aggregated by the keys.
+
+    Spark splits the rows of a hot key over tasks only where a shuffle feeds the join directly. The added key says
+    nothing new; it only keeps the aggregate's own partitioning from being used again.
+    """
+    mark = F.pmod(F.xxhash64(*keys), F.lit(1 << 20)).alias("__mark")
+    return left.select("*", mark).join(right.select("*", mark), [*keys, "__mark"], how).drop("__mark")
+
+
 def block_count(frame: DataFrame, text: str, block_bytes: int) -> int:
-    """How many blocks of about block_bytes the texts fill; one pass over the lengths."""
+    """How many blocks of about block_bytes the texts fill, two to a core at least; one pass over the lengths."""
     total = frame.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
-    return max(1, -(-int(total) // block_bytes))
+    return max(2 * frame.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import remove, written
+from keystrata.llm.common import join_apart, remove, written
 
 
 def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
     """Rows (node, component) of every node that has an edge (u, v); component is the smallest node reachable.
 
     Each round writes its edges to the shared folder, so a lost executor costs that round at most. Hubs are aggregated
-    before they are shuffled; the joins that follow are plain inner joins, which Spark can split where a node is hot.
+    before they are shuffled, and Spark can split the joins that follow where a node is hot.
     Null ends and loops are left out; an empty table gives an empty one.
     """
     current = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, f"{tag}-0")
@@ -20,9 +20,9 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_apart(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = join_apart(large, low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         step += 1
         following = written(small, folder, f"{tag}-{step}")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER, U, block_count, pieces, release, remove, shared_folder, shuffle_partitions, table, window_hashes, words_of, written
+from keystrata.llm.common import LOWER, U, block_count, join_apart, pieces, release, remove, shared_folder, shuffle_partitions, table, window_hashes, words_of, written
 from keystrata.llm.graph import components
 
 WORDS = 5
@@ -73,7 +73,7 @@ def _members(signatures: DataFrame) -> DataFrame:
     """Each row with the smallest doc_id of its set and the number of rows of that set."""
     some = signatures.where("n_shingles > 0 AND doc_id IS NOT NULL")
     rep = some.groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"))
-    own = some.join(rep, "sig").select("doc_id", "n_shingles", "rep_id", "copies")
+    own = join_apart(some, rep, "sig").select("doc_id", "n_shingles", "rep_id", "copies")
     rest = signatures.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep_id"), F.lit(1).cast("long").alias("copies"))
     return own.unionByName(rest)
 
@@ -359,11 +359,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     release(spark)
     keys = found.select("doc_id", F.explode("keys").alias("key"))
     center = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(center, "key").select(F.col("doc_id").alias("u"), F.col("center").alias("v"))
+    edges = join_apart(keys, center, "key").select(F.col("doc_id").alias("u"), F.col("center").alias("v"))
     clusters = components(edges, folder, "near").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     count = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     copies = members.where("doc_id = rep_id").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = found.select("doc_id", "shingles").join(clusters, "doc_id").join(count, "cluster").join(copies, "doc_id")
+    # The sets are the large side; they are shuffled once, to what is known of each document.
+    known = join_apart(clusters, count, "cluster").join(copies, "doc_id")
+    rows = found.select("doc_id", "shingles").join(known, "doc_id")
     parts = F.when(F.col("members") > LIMIT, F.ceil(F.col("members") * 2 / LIMIT)).otherwise(1).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -391,6 +393,20 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = d.doc_id), d.doc_id)) AS component_id,
+  (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keeps the document of smallest doc_id of each component; rows without doc_id stay."""
     drop = join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
