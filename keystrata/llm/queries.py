@@ -22,5 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
+    "op6_substring": rlz.ORACLE,
     "op7_pii": pii.ORACLE,
+    "op8_jaccard": sigtree.ORACLE,
+    "op10_vectors": vectors.ORACLE,
 }

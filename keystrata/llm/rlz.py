@@ -260,4 +260,15 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the copies of windows that start earlier."""
     parsed = parse(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM k) WHERE rn > 1),
+g AS (SELECT doc_id, list(p) AS ps FROM (SELECT DISTINCT doc_id, i + j AS p FROM c, range(0, 20) r(j)) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
