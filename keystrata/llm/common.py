@@ -157,7 +157,7 @@ class Words:
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.start))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 * CHUNK):
     """The batch in slices of about limit bytes of one binary or string column, at least a row each."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64) + 1
     upto, i, n = np.concatenate([[0], np.cumsum(lengths)]), 0, batch.num_rows

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER, U, binary_parts, block_count, crc_rest, mix, pieces, shuffle_partitions, table, words_of
+from keystrata.llm.common import CHUNK, LOWER, U, binary_parts, block_count, crc_rest, mix, pieces, shuffle_partitions, table, words_of
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Model partitions at most; ten thousand million distinct runs are two and a half million to each.
 MODELS = 4096
 END = 255
@@ -161,7 +161,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def block_runs(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         runs, counts = [], []
         for batch in block.to_batches():
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", CHUNK):
                 train = np.asarray(part["train"]).astype(bool)
                 r, owner = runs_of(part["text"], order)
                 key = (r << U(1)) | train[owner]
@@ -172,15 +172,18 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return _added(np.concatenate(runs), np.concatenate(counts)) if runs else (np.empty(0, U), np.empty(0, np.int64))
 
     def block_words(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k1, k2, n = [np.array([END_KEY[0]], U)], [np.array([END_KEY[1]], np.uint32)], [np.array([np.asarray(block["train"]).astype(bool).sum()])]
+        end = np.asarray(block["train"]).astype(bool).sum()
+        parts = [(np.array([END_KEY[0]], U), np.array([END_KEY[1]], np.uint32), np.array([end], np.int64))]
         for batch in block.to_batches():
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", CHUNK):
                 w = words_of(part["text"], through=LOWER, hashes=2)
                 train = np.asarray(part["train"]).astype(bool)[w.owner()]
-                k1.append(w.hashes[0])
-                k2.append((w.hashes[1] >> U(32)).astype(np.uint32))
-                n.append(train.astype(np.int64))
-        k1, k2, n = np.concatenate(k1), np.concatenate(k2), np.concatenate(n)
+                parts.append(added_words(w.hashes[0], (w.hashes[1] >> U(32)).astype(np.uint32), train.astype(np.int64)))
+        return added_words(*map(np.concatenate, zip(*parts, strict=True)))
+
+    def added_words(k1: np.ndarray, k2: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(k1):
+            return k1, k2, n
         o = np.argsort(k1, kind="stable")
         k1, k2, n = k1[o], k2[o], n[o]
         first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
@@ -307,7 +310,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         end = int(counts[np.flatnonzero((k1 == END_KEY[0]) & (k2 == END_KEY[1]))[0]])
         out = []
         for batch in block.to_batches():
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", CHUNK):
                 n = part.num_rows
                 r, owner = runs_of(part["text"], order)
                 if len(r) and int(r.max()) < 1 << (63 - int(n).bit_length()):
