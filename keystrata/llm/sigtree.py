@@ -382,7 +382,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         # Blocks of one cluster were settled apart: their links meet here.
         across = components(settled.where("split AND doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v")), folder, "across")
         links = links.join(across.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("component", "root"))
-    links = links.select(F.col("doc_id").alias("rep_id"), "root", "links")
+    # As a table its size is known, and a set with many copies is no hot key of a shuffle while it is short.
+    links = written(links.select(F.col("doc_id").alias("rep_id"), "root", "links"), folder, "links")
     return members.join(links, "rep_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "rep_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
