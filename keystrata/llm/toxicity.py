@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from keystrata.llm.common import U, Words, binary_parts, crc_rest, pieces, table, words_of
 
-POSITIVES, NEGATIVES = 3000, 4500
+POSITIVES, NEGATIVES = 2000, 3000
 BITS = 18
 ROUNDS = 120
 DECISION = 0.3
@@ -73,14 +73,16 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: n
     slot = np.concatenate([s for _, s in docs])
     counts = np.bincount(np.concatenate([np.unique(s) for _, s in docs]), minlength=1 << BITS)
     known = np.flatnonzero(counts >= LEAST_DOCUMENTS)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
     base = np.cumsum([0] + [int(s.max()) + 1 if len(s) else 1 for s, _ in docs])
     owner = np.repeat(np.arange(len(docs)), np.diff(base))
+    base = base.astype(np.int32)
     sentence = np.concatenate([s + b for (s, _), b in zip(docs, base, strict=False)])
     column = place[slot]
     keep = column >= 0
     sentence, column = sentence[keep], column[keep]
+    del slot, keep
     w, b = np.zeros(len(known)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
@@ -126,13 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
 
     # At most positives + negatives ids, whatever the size of the tables.
     got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInArrow(vectors, "doc_id long, toxic int, pairs binary")
-    found = sorted(((r["doc_id"], r["toxic"], bytes(r["pairs"])) for r in got.toLocalIterator()), key=lambda r: r[0])
-    sets, y = [], []
-    for _, toxic, pairs in found:
-        x = np.frombuffer(pairs, np.int64)
-        sets.append((x >> BITS, x & ((1 << BITS) - 1)))
-        y.append(toxic)
-    y = np.array(y)
+    found = []
+    for r in got.toLocalIterator():
+        x = np.frombuffer(r["pairs"], np.int64)
+        found.append((r["doc_id"], r["toxic"], (x >> BITS).astype(np.int32), (x & ((1 << BITS) - 1)).astype(np.int32)))
+    found.sort(key=lambda r: r[0])
+    sets, y = [(s, slot) for _, _, s, slot in found], np.array([r[1] for r in found])
+    del found
     weight = np.where(y == 1, counts.get(1, 0) / max(1, (y == 1).sum()), counts.get(0, 0) / max(1, (y == 0).sum()))
     return fit(sets, y, weight)
 
