@@ -3,9 +3,9 @@
 Vectors are compared when their labels are equal and not null, by cosine in double precision. Each pass draws random
 hyperplanes; a vector's key is the concatenation of their sides, and vectors are ordered by label and key. Within a
 pass, each vector is compared with its WINDOW neighbours on either side, and verified pairs join groups that are
-united across passes. Windows bound a pass, not the result: every group is then compared in full, in blocks, so the
-links of a group larger than a window are all counted. Only links between groups that no pass has brought together
-can be missing; recall is measured in the tests.
+united across passes. Windows bound a pass, not the result: the distinct vectors of a label are then settled in full,
+in pairs of blocks of about LIMIT, which counts every link and unites groups that no pass has brought together. So
+no link is missed, however crowded a label is; the settling is quadratic in the distinct vectors of a label.
 
 Equal vectors of a label become one representative with a number of copies first. Edge cases: a vector that is null,
 zero or has null or non-finite parts links with nothing, as does one of null label or null vec_id; vectors of
@@ -125,8 +125,11 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return np.array([(x, find(x)) for x in parent if find(x) != x], np.int64).reshape(-1, 2)
 
 
-def _counted(tasks: DataFrame, cosine: float) -> DataFrame:
-    """Links of each vector in its task, a task being rows of equal (component, i, j), one after another."""
+def _settled(tasks: DataFrame, cosine: float) -> DataFrame:
+    """Links of each vector in its task, a task being rows of equal (label, dim, i, j), one after another.
+
+    Rows with another component, other, say that it has a link with the component vec_id; they have no links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -134,39 +137,43 @@ def _counted(tasks: DataFrame, cosine: float) -> DataFrame:
         def close() -> None:
             if not rows:
                 return
-            ids, copies, block = (np.array([r[k] for r in rows]) for k in range(3))
-            x = _unit([r[3] for r in rows])
-            left = np.ones(len(rows), bool) if key[1] == key[2] else block == key[1]
-            right = left if key[1] == key[2] else ~left
-            links = np.zeros(len(rows), np.int64)
+            ids, component, copies, block = (np.array([r[k] for r in rows]) for k in range(4))
+            x = _unit([r[4] for r in rows])
+            left = np.ones(len(rows), bool) if key[2] == key[3] else block == key[2]
+            right = left if key[2] == key[3] else ~left
+            links, apart = np.zeros(len(rows), np.int64), []
             r = np.flatnonzero(right)
             for at in np.array_split(np.flatnonzero(left), max(1, left.sum() // 512)):
                 near = x[at] @ x[r].T >= cosine
                 near[at[:, None] == r[None, :]] = False
                 links[at] += near @ copies[r]
-                if key[1] != key[2]:
+                if key[2] != key[3]:
                     links[r] += copies[at] @ near
-            out.extend(zip(ids.tolist(), links.tolist(), strict=True))
+                near &= component[at][:, None] != component[r][None, :]
+                a, b = np.nonzero(near)
+                apart.append(_forest(np.unique(np.stack([component[at[a]], component[r[b]]], 1), axis=0)))
+            out.extend((i, n, None) for i, n in zip(ids.tolist(), links.tolist(), strict=True) if n)
+            out.extend((a, None, b) for a, b in _forest(np.concatenate(apart)).tolist())
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["vec_id", "links"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["vec_id", "links", "other"])
             out.clear()
             return batch
 
         for whole in batches:
-            for *own, vec, copies, block, blob in zip(*(whole[c].to_pylist() for c in ("component", "i", "j", "vec_id", "copies", "block", "vector")), strict=True):
+            for *own, vec, component, copies, block, blob in zip(*(whole[c].to_pylist() for c in ("label", "dim", "i", "j", "vec_id", "component", "copies", "block", "vector")), strict=True):
                 if tuple(own) != key:
                     close()
                     key, rows = tuple(own), []
                     if len(out) > 20_000:
                         yield flush()
-                rows.append((vec, copies, block, blob))
+                rows.append((vec, component, copies, block, blob))
         close()
         if out:
             yield flush()
 
-    dealt = tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "vec_id")
-    return dealt.mapInArrow(run, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    dealt = tasks.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "vec_id")
+    return dealt.mapInArrow(run, "vec_id long, links long, other long")
 
 
 def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, planes: int = PLANES, window: int = WINDOW) -> DataFrame:
@@ -178,13 +185,21 @@ def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, plane
     reps = rep.select(F.col("rep_id").alias("vec_id"), "label", "vector", "copies")
     edges = written(_neighbours(_keys(reps, passes, planes), window, cosine), folder, "edges")
     found = components(edges, folder, "vectors").withColumnRenamed("node", "vec_id")
-    count = found.groupBy("component").agg(F.count("*").alias("members"))
-    inside = reps.join(join_apart(found, count, "component"), "vec_id")
+    sized = reps.withColumn("dim", (F.octet_length("vector") / 8).cast("int"))
+    count = sized.groupBy("label", "dim").agg(F.count("*").alias("members"))
+    inside = join_apart(sized, count, "label", "dim").join(found, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
     inside = inside.withColumn("parts", F.ceil(F.col("members") / LIMIT).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     tasks = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "component", "vec_id", "copies", "block", "vector", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
+        "label", "dim", "vec_id", "component", "copies", "block", "vector", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
     )
-    known = found.join(_counted(tasks, cosine), "vec_id", "left").select(F.col("vec_id").alias("rep_id"), "component", "links")
+    settled = written(_settled(tasks, cosine), folder, "settled")
+    links = settled.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep_id")
+    apart = settled.where("other IS NOT NULL").select(F.col("vec_id").alias("u"), F.col("other").alias("v"))
+    group = found.withColumnRenamed("vec_id", "rep_id")
+    if not apart.isEmpty():
+        united = components(edges.unionByName(apart), folder, "united")
+        group = united.withColumnRenamed("node", "rep_id")
+    known = group.join(links, "rep_id", "left")
     members = rep.join(known, "rep_id", "left").select("label", "vector", F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     links = F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)
@@ -198,7 +213,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-#: All pairs of a label; the passes may miss a link here, though on these tables they do not.
+#: All pairs of a label.
 ORACLE = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 c AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),

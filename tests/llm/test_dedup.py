@@ -166,6 +166,24 @@ def test_vectors_against_all_pairs(spark, monkeypatch, limit):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+@pytest.mark.parametrize("mean", [0.7, 0.9])
+def test_vectors_of_a_crowded_label(spark, monkeypatch, mean):
+    """Vectors of one direction, crowded without linking, that share keys; every pair and no other is found."""
+    monkeypatch.setattr(vectors, "LIMIT", 1500)
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(mean) * unit(rng.standard_normal((1, 64))) + np.sqrt(1 - mean) * unit(rng.standard_normal((4000, 64)))
+    x[3000:3400] = unit(x[:400]) + 0.17 * unit(rng.standard_normal((400, 64)))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    near = unit(x) @ unit(x).T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() > 600
+    got = {r.vec_id: r for r in vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert [got[i].n_links for i in range(4000)] == near.sum(1).tolist()
+    assert all(got[i].component_id == got[j].component_id for i, j in np.argwhere(near).tolist())
+    assert sum(r.kept for r in got.values()) == 4000 - len(vectors._forest(np.argwhere(near)))
+
+
 def test_vector_odd_tables(spark):
     ddl = "vec_id long, embedding array<float>, label int, links string"
     assert vectors.near(spark.createDataFrame([], ddl)).count() == 0
