@@ -253,6 +253,11 @@ def inv_tokenize(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.array_join(F.slice(words, 1, 20), " ").alias("head"))
 
 
+@query(f"SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def inv_tokens(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode(arrays.tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(f"SELECT 2 AS field_id, term, key FROM {_POST}")
 def inv_postings(spark, sf):
     return _postings(spark, sf)

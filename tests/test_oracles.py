@@ -34,6 +34,15 @@ def test_query(spark, duck, name):
     assert plain(numeric(got)) == plain(numeric(want))
 
 
+def test_every_token_is_returned(spark):
+    """inv_tokens has the tokens that lie beyond the head of inv_tokenize too."""
+    rows = queries.QUERIES["inv_tokens"](spark, SF).toPandas().sort_values(["doc_id", "pos"])
+    counts = queries.QUERIES["inv_tokenize"](spark, SF).toPandas().set_index("doc_id")
+    assert len(rows) == counts["n_tokens"].sum() > 20 * len(counts)
+    heads = rows[rows["pos"] < 20].groupby("doc_id")["token"].agg(" ".join)
+    assert heads.to_dict() == {k: v for k, v in counts["head"].to_dict().items() if v}
+
+
 def test_entry(spark):
     import __spark_entry__
 
