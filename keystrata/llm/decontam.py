@@ -11,7 +11,8 @@ join gets more to do and stays right. Hits that lie close make a region, with th
 only where it may leak. Items of equal words are one item (the smallest item_id) with a count.
 
 Edge cases: null and empty texts leak nothing; items below LEAST words are not looked for, as ordinary phrases would
-match them; items shorter than the masks are hashed whole; repeated rows are each answered as one doc_id; a null
+match them; items of at most LONG words also get the masks SHORT, of which one at least lies in the matches of every
+stretch that leaks such an item (shown over all patterns in the tests); repeated rows are each answered as one doc_id; a null
 doc_id is not reported; without items or documents there are no rows.
 """
 
@@ -29,6 +30,7 @@ from keystrata.llm.common import U, mix, pieces, release, shared_folder, table,
 
 #: The seeds.
 MASKS = ("1101100110101", "1011001101011", "1110010100111")
+SHORT = ("11010011", "1100000001011", "1100010011", "10101000011", "111011")
 LEAST = 8
 SHARE = 0.4
 LONG = 20
@@ -57,9 +59,9 @@ def seed_hashes(h: np.ndarray, mask: str, which: int) -> np.ndarray:
     return mix(total)
 
 
-def _all_masks(short: list[int]) -> list[tuple[int, str]]:
-    """The seeds, and one that asks for every word for each length of items too short for them."""
-    return [*enumerate(MASKS), *((100 + n, "1" * n) for n in sorted(short))]
+def _all_masks(short: bool) -> list[tuple[int, str]]:
+    """The seeds, and those of short items if there are any, numbered from 100."""
+    return [*enumerate(MASKS), *(enumerate(SHORT, 100) if short else ())]
 
 
 def _plain(texts: pa.Array) -> pa.Array:
@@ -87,7 +89,7 @@ def _item_seeds(items: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
             for item, blob in zip(batch["item_id"].to_pylist(), batch["words"].to_pylist(), strict=True):
                 h = np.frombuffer(blob, U)
                 for which, mask in masks:
-                    if which < 100 or len(mask) == len(h):
+                    if which < 100 or len(h) <= LONG:
                         s = seed_hashes(h, mask, which)
                         ids.append(np.full(len(s), item, np.int64))
                         places.append(np.arange(len(s), dtype=np.int32))
@@ -174,8 +176,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark)
     known = written(item_table(items), folder, "items")
-    short = [r[0] for r in known.where(f"n_words < {len(MASKS[0])}").select("n_words").distinct().collect()]
-    masks = _all_masks(short)
+    masks = _all_masks(not known.where(f"n_words <= {LONG}").isEmpty())
     seeds = written(_item_seeds(known, masks), folder, "seeds")
     regions = written(_regions(docs, masks, _bitmap(seeds)), folder, "regions")
     hits = regions.select("doc_id", "region", F.explode(F.arrays_zip("places", "hashes")).alias("hit")).select("doc_id", "region", F.col("hit.places").alias("at"), F.col("hit.hashes").alias("hash"))

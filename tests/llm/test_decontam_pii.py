@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from keystrata.llm import decontam, pii
@@ -53,6 +55,47 @@ def test_repeated_documents_and_empty_tables(spark, leaky):
     assert {(r.doc_id, r.item_id) for r in again.collect()} == want and again.count() == len(want)
 
 
+def test_short_items_with_substituted_words(spark):
+    """Every pattern of one or two substituted words that overlap() accepts is found, and no other."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(8, 21)}
+    docs, want = [], set()
+    for n, item in items.items():
+        for spoilt in [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            passage = ["other" if k in spoilt else w for k, w in enumerate(item)]
+            docs.append((len(docs), " ".join(["before", *passage, "after"])))
+            same = decontam.overlap(np.array([k in spoilt for k in range(n)]), np.zeros(n, bool), 0)[2]
+            if same >= decontam.LEAST:
+                want.add((len(docs) - 1, n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(frame, table).collect()} == want
+    assert len(want) > 1000
+
+
+def test_short_masks_miss_no_pattern():
+    """All patterns of matches of LONG words; those of shorter items are among them, as mismatches at the ends."""
+    n = decontam.LONG
+    assert decontam.SHARE * n <= decontam.LEAST
+    rng, every = random.Random(2), np.arange(1 << n)
+    total, floor, best = np.zeros(1 << n), np.zeros(1 << n), np.zeros(1 << n)
+    seen, skipped, same = (np.zeros(1 << n, int) for _ in range(3))
+    for k in range(n):
+        hit = every >> k & 1
+        total, seen = total + np.where(hit, 1, decontam.MISMATCH), seen + hit
+        low = total <= floor
+        floor, skipped = np.where(low, total, floor), np.where(low, seen, skipped)
+        more = total - floor > best
+        best, same = np.where(more, total - floor, best), np.where(more, seen - skipped, same)
+    for p in rng.sample(range(1 << n), 2000):
+        assert decontam.overlap(np.array([p >> k & 1 for k in range(n)]), np.ones(n, int), 0)[2] == same[p]
+    covered = np.zeros(1 << n, bool)
+    for mask in decontam.SHORT:
+        bits = sum(1 << k for k, b in enumerate(mask) if b == "1")
+        for at in range(n - len(mask) + 1):
+            covered |= every >> at & bits == bits
+    assert covered[same >= decontam.LEAST].all()
+
+
 # ---------------------------------------------------------------- personal data
 
 BASE = {
