@@ -58,6 +58,7 @@ class Vocabulary:
         special = {i for i in range(size) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
+        self.spelled = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
         self.id: dict[str, int] = {}
         self.score: dict[str, float] = {}
         for i in range(size):
@@ -376,21 +377,17 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.piece[i].replace(MARK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = self.spell(ids).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def spell(self, ids: list[int]) -> bytes:
+        """The bytes that pieces stand for, the space in front of the text among them."""
+        return b"".join(map(self.spelled.__getitem__, ids))
+
+    def same(self, ids: list[int], edits: list[tuple[int, int, list[int]]]) -> bool:
+        """Whether the segmentation with these edits decodes to the same bytes, and so to the same text."""
+        return all(self.spell(ids[start : start + length]) == self.spell(new) for start, length, new in edits)
+
 
 _split = re.compile(rf"{MARK}+[^{MARK}]*").findall
 
@@ -407,18 +404,20 @@ ALTERNATIVES = T.ArrayType(
 _ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("pieces", pa.list_(pa.int32()))])))]))
 
 
-def encode(frame: DataFrame, text: str = "text", nbest: int = NBEST, model: str = MODEL) -> DataFrame:
+def encode(frame: DataFrame, text: str = "text", nbest: int = NBEST, model: str = MODEL, reread: bool = False) -> DataFrame:
     """Adds pieces, piece_score and alternatives, the 2nd to nbest-th segmentations as edits of the first.
 
-    Columns of these names give way. The model file is read where the work is done, by the path given.
+    With reread, also decoded, the text that the pieces give back, and read_back, how many segmentations, the first
+    and the alternatives, give back the text exactly. Columns of these names give way. The model file is read where the work is done, by the path given.
     """
-    frame = frame.drop("pieces", "piece_score", "alternatives")
+    own = ["pieces", "piece_score", "alternatives", *(["decoded", "read_back"] if reread else [])]
+    frame = frame.drop(*own)
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in (p for whole in batches for p in slices(whole, text, 1 << 20)):
-            scores, flat, bounds, others, gone = [], [], [0], [], []
+            scores, flat, bounds, others, gone, decoded, read = [], [], [0], [], [], [], []
             texts = batch[text].to_pylist()
             for t, (score, ids, more) in zip(texts, v.encode_all(texts, nbest), strict=True):
                 gone.append(t is None)
@@ -426,11 +425,17 @@ def encode(frame: DataFrame, text: str = "text", nbest: int = NBEST, model: str
                 flat.append(ids)
                 bounds.append(bounds[-1] + len(ids))
                 others.append(None if t is None else [{"score": s, "edits": [dict(zip(("start", "length", "pieces"), e, strict=True)) for e in edits]} for s, edits in more])
+                if reread:
+                    plain = ids.tolist()
+                    decoded.append(None if t is None else v.decode(plain))
+                    read.append(None if t is None else (decoded[-1] == t) * (1 + sum(v.same(plain, edits) for _, edits in more)))
             offsets = pa.array([None if g else b for g, b in zip([*gone, False], bounds, strict=True)], pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVES)], [*names, "pieces", "piece_score", "alternatives"])
+            again = [pa.array(decoded, pa.string()), pa.array(read, pa.int64())] if reread else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVES), *again], [*names, *own])
 
     added = [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("piece_score", T.DoubleType()), T.StructField("alternatives", ALTERNATIVES)]
+    added += [T.StructField("decoded", T.StringType()), T.StructField("read_back", T.LongType())] if reread else []
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *added]))
 
 
@@ -449,9 +454,9 @@ def decode(frame: DataFrame, column: str = "pieces", out: str = "decoded", model
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segmentations of every document."""
-    found = encode(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "piece_score", "pieces", "alternatives")
+    """Segmentations of every document, and what they decode to."""
+    found = encode(table(spark, sf_dir, "documents", "doc_id", "text"), reread=True)
+    return found.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "piece_score", "pieces", "alternatives", "decoded", "read_back")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,20 @@ def test_frames(documents, nothing, repeated):
     assert pieces.encode(repeated).where(F.col("pieces").isNotNull()).count() == 5
 
 
+def test_the_query_decodes_every_segmentation(spark, documents, tmp_path):
+    frame, rows = documents
+    odd = spark.createDataFrame([(20_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    frame.select("doc_id", "text").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pieces.op4_pieces(spark, str(tmp_path)).collect()
+    want = {r[0]: r[1] for r in rows} | {20_000 + i: t for i, t in enumerate(ODD)}
+    assert {r.doc_id: r.decoded for r in got} == want
+    assert all(r.read_back == (None if want[r.doc_id] is None else 1 + len(r.alternatives)) for r in got)
+    assert sum(len(r.alternatives or []) for r in got) > 100
+    some = next(r for r in got if r.alternatives)
+    edits = [(e.start, e.length, e.pieces) for e in some.alternatives[0].edits]
+    assert V.same(some.pieces, edits) and not V.same(some.pieces, [(s, n, [*new, new[0]]) for s, n, new in edits])
+
+
 def test_results_don_t_depend_on_what_is_remembered():
     texts = ["the cat sat on the mat", "on the mat, the cat"]
     a = [V.encode(t, 3)[1].tolist() for t in texts]
