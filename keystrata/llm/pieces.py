@@ -460,5 +460,5 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: documents with the pieces of their texts."""
-    return encode(docs.select("doc_id", "lang", "source", "text"), nbest=1).select("doc_id", "lang", "source", "pieces", "piece_score")
+    """Pipeline stage, the last: documents with the pieces of their texts and the alternatives."""
+    return encode(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "pieces", "piece_score", "alternatives")

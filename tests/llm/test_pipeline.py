@@ -38,6 +38,17 @@ def test_run(spark, folder):
     assert "<EMAIL>" in redacted[9101]
 
 
+def test_last_stage_keeps_the_alternatives(spark, folder):
+    path, rows = folder
+    docs = spark.createDataFrame([r for r in rows if r[0] in (1, 4, 7, 9100, 9101)], ", ".join(DDL.split(", ")[:5]))
+    v = pieces.vocabulary(pieces.MODEL)
+    got = {r.doc_id: r for r in pieces.stage(spark, docs, path).collect()}
+    for i, text, *_ in docs.collect():
+        _, _, more = v.encode(text, pieces.NBEST)
+        assert [(a.score, [(e.start, e.length, e.pieces) for e in a.edits]) for a in got[i].alternatives] == more
+    assert len(got[9100].alternatives) == pieces.NBEST - 1
+
+
 def test_stages_keep_the_columns(spark, folder):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
