@@ -160,6 +160,21 @@ def fold(ops: DataFrame, schema: TableSchema, base: DataFrame | None = None, *,
     return kept.groupBy("key").agg(*out).select(*schema.names)
 
 
+def fold_into(ops: DataFrame, schema: TableSchema, base: DataFrame) -> DataFrame:
+    """fold() on a base of which few keys change: only rows of the keys in ops are folded, the others pass by.
+
+    A pair of joins by key; Spark broadcasts the keys of a small batch, and then the base is not shuffled here.
+    """
+    if "status" in ops.columns:
+        ops = ops.where("status = 'ok'")
+    touched = ops.select("key").distinct()
+    own = F.col(schema.key).cast("string")
+    rows = base.select(own.alias("key"), *schema.names)
+    changed = rows.join(touched, "key", "left_semi").select(*schema.names)
+    rest = rows.join(touched, "key", "left_anti").select(*schema.names)
+    return rest.unionByName(fold(ops, schema, changed))
+
+
 def rejected_inserts(ops: DataFrame, schema: TableSchema, base: DataFrame | None = None) -> DataFrame:
     """Inserts whose key was live, over the whole log and not only after the last delete: offset, item, key."""
     if "status" in ops.columns:

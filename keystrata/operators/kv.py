@@ -19,6 +19,8 @@ from keystrata.functions.values import default_of, key_literal, materialise, val
 from keystrata.sources.schema import TableSchema
 
 BUCKET = "__pk_bucket"
+#: Bounds of numbered(): ranges of keys, and keys drawn for each of them.
+RANGES, SAMPLE_A_RANGE = 2048, 32
 
 
 class RejectedBatch(ValueError):
@@ -132,9 +134,25 @@ def upsert(snapshot: DataFrame, delta: DataFrame, schema: TableSchema) -> DataFr
     return rest.unionByName(fresh)
 
 
+def as_given(delta: DataFrame) -> DataFrame:
+    """The rows with __given, their order in the frame: by partition, then by row. Taken before any shuffle."""
+    return delta.withColumn("__given", F.monotonically_increasing_id())
+
+
 def batch_upsert(snapshot: DataFrame, delta: DataFrame, schema: TableSchema, *order: Column) -> DataFrame:
-    """upsert() of the last row of each key in delta."""
-    return upsert(snapshot, last_wins(delta, schema.key, *order), schema)
+    """upsert() of the last row of each key in delta, by the order given or else by that of the frame."""
+    rows = delta if order else as_given(delta)
+    return upsert(snapshot, last_wins(rows, schema.key, *(order or (F.col("__given"),))), schema)
+
+
+def put(snapshot: DataFrame, delta: DataFrame, schema: TableSchema) -> DataFrame:
+    """Puts rows (one a key) that callers say are new. A key that is live already answers with the new row from then on."""
+    return upsert(snapshot, delta, schema)
+
+
+def batch_put(snapshot: DataFrame, delta: DataFrame, schema: TableSchema, *order: Column) -> DataFrame:
+    """put() of many rows, one after another: of repeated keys the last one stays."""
+    return batch_upsert(snapshot, delta, schema, *order)
 
 
 def put_batch(snapshot: DataFrame, delta: DataFrame, schema: TableSchema, *order: Column) -> DataFrame:
@@ -169,13 +187,30 @@ def existed(snapshot: DataFrame, keys: DataFrame, schema: TableSchema) -> DataFr
 
 
 def numbered(snapshot: DataFrame, schema: TableSchema) -> DataFrame:
-    """Surrogate numbers from 1 in the order of keys; a row's identity stays its key.
+    """Surrogate numbers from 1 in the order of keys (a null key first); a row's identity stays its key.
 
-    Ranges of keys are counted first, then numbered apart, so no task sees more than its range.
+    The range of a row comes from its key alone: boundaries are drawn from the keys of least hash, at most
+    SAMPLE_A_RANGE for each of RANGES ranges. So rows that are counted and rows that are numbered agree on their range
+    whatever partitions they are in, and no task sees more than a range.
     """
-    spread = snapshot.repartitionByRange(schema.key).withColumn("__part", F.spark_partition_id())
+    ranges = min(RANGES, int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.col(schema.key)
+    drawn = snapshot.where(key.isNotNull()).select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_A_RANGE * ranges)
+    sample = sorted({r["k"] for r in drawn.collect()}, key=lambda k: k.encode() if isinstance(k, str) else k)
+    cuts = list(dict.fromkeys(sample[i * len(sample) // ranges] for i in range(1, ranges))) if sample else []
+
+    def part(lo: int, hi: int) -> Column:
+        """The number of boundaries among lo to hi that the key has reached, by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < F.lit(cuts[mid]).cast(schema.key_field.data_type), part(lo, mid)).otherwise(part(mid + 1, hi))
+
+    spread = snapshot.withColumn("__part", F.when(key.isNull(), -1).otherwise(part(0, len(cuts))))
     counts = spread.groupBy("__part").agg(F.count("*").alias("__n"))
-    # As many rows as partitions.
+    # As many rows as ranges.
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(schema.key))
-    return spread.join(F.broadcast(before), "__part").withColumn("doc_id", (F.col("__before") + own).cast("long")).drop("__part", "__before")
+    placed = spread.join(F.broadcast(before), "__part", "left")
+    number = F.coalesce(F.col("__before"), F.raise_error(F.lit("a row outside all ranges")).cast("long")) + own
+    return placed.withColumn("doc_id", number.cast("long")).drop("__part", "__before")

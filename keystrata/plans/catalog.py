@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import json
 import os
+import socket
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -28,6 +31,8 @@ from keystrata.sources.schema import TableSchema, parse_schema
 
 KINDS = ("kv", "inverted")
 SKIPPED_SUFFIX = "~reload"
+#: A writer renews its lock three times in LEASE_SEC; one that hasn't for so long has ended, and the lock is taken over.
+LEASE_SEC = 600
 SIDES = ("schema.json", "table.json")
 
 
@@ -96,8 +101,11 @@ class Snapshot:
 
 
 def write_data(rows: DataFrame, path: str, key: str) -> None:
-    """Rows with their bucket as Parquet: a folder for each bucket, sorted by key, with a Bloom filter on it."""
-    out = rows.repartition(kv.BUCKET).sortWithinPartitions(kv.BUCKET, key)
+    """Rows with their bucket as Parquet: a folder for each bucket, sorted by key, with a Bloom filter on it.
+
+    Rows are dealt by bucket and range of key, so a large bucket is written by several tasks to several files.
+    """
+    out = rows.repartitionByRange(kv.BUCKET, key).sortWithinPartitions(kv.BUCKET, key)
     out.write.mode("overwrite").partitionBy(kv.BUCKET).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
@@ -161,41 +169,112 @@ class Table:
     # ------------------------------------------------ writing
 
     @contextmanager
-    def lock(self) -> Iterator[None]:
-        """One writer at a time; a second one fails at once."""
+    def lock(self) -> Iterator[Callable[[], None]]:
+        """One writer at a time; a second one fails at once. Yields a check that the lock is still held.
+
+        A lock whose writer has ended, a process of this host that is gone or one that let its lease run out, is
+        taken over.
+        """
         if not self.catalog.exclusive:
-            yield
+            yield lambda: None
             return
-        path = f"{self.root}/.lock"
-        if not self.files.create(path, str(os.getpid()), False):
-            raise CatalogError(f"{self.name} is locked by another writer")
+        path, own = f"{self.root}/.lock", {"host": socket.gethostname(), "pid": os.getpid(), "token": uuid.uuid4().hex}
+        stamp = lambda: json.dumps({**own, "renewed": time.time()})
+        if not self.files.create(path, stamp(), False):
+            if not self._ended(path):
+                raise CatalogError(f"{self.name} is locked by another writer")
+            # Of several that see the same stale lock one moves it away, and one makes the new one.
+            stale = f"{path}-{own['token']}"
+            self.files.move(path, stale)
+            self.files.delete(stale)
+            if not self.files.create(path, stamp(), False):
+                raise CatalogError(f"{self.name} is locked by another writer")
+
+        def held() -> None:
+            if self._lock_of(path).get("token") != own["token"]:
+                raise CatalogError(f"{self.name}: the lock was lost, nothing is committed")
+
+        over = threading.Event()
+
+        def renew() -> None:
+            while not over.wait(LEASE_SEC / 3):
+                if self._lock_of(path).get("token") == own["token"]:
+                    self.files.replace(path, stamp())
+
+        renewing = threading.Thread(target=renew, daemon=True)
+        renewing.start()
         try:
-            yield
+            yield held
         finally:
-            self.files.delete(path)
+            over.set()
+            renewing.join()
+            if self._lock_of(path).get("token") == own["token"]:
+                self.files.delete(path)
+
+    def _lock_of(self, path: str) -> dict:
+        try:
+            return json.loads(self.files.read(path))
+        except Exception:  # gone, or being replaced just now
+            return {}
+
+    def _ended(self, path: str) -> bool:
+        holder = self._lock_of(path)
+        if time.time() - holder.get("renewed", time.time()) > LEASE_SEC:
+            return True
+        if holder.get("host") != socket.gethostname():
+            return False
+        try:
+            os.kill(holder["pid"], 0)
+        except ProcessLookupError:
+            return True
+        except PermissionError:
+            pass
+        return False
 
     def commit(self, rows: DataFrame, *, activate: bool = True, build_id: str | None = None, extra: dict | None = None) -> str:
         """Writes rows (one a key) as a new version and makes it the active one.
 
         Rows are dealt to buckets by key and sorted by key inside, so a lookup reads one bucket and skips row groups.
+        What is known of the table's stream (its last batch and offset) is carried on, whoever commits.
         """
-        with self.lock():
-            return self._write(rows, activate, build_id, extra or {})
+        return self.change(lambda _: rows, activate=activate, build_id=build_id, extra=extra)
 
-    def _write(self, rows: DataFrame, activate: bool, build_id: str | None, extra: dict) -> str:
-        schema, kind = self.schema(), self._kind()
+    def change(self, following: Callable[[DataFrame], DataFrame | None], *, activate: bool = True, build_id: str | None = None, extra: dict | None = None) -> str | None:
+        """Reads the active rows, computes those that follow and commits them, all under the lock: no commit is lost.
+
+        following may answer None, and then nothing is committed.
+        """
+        with self.lock() as held:
+            before = self.active()
+            rows = following(self._base())
+            if rows is None:
+                return None
+            known = {**(extra or {})}
+            stream = {**(self._meta(before).get("stream", {}) if before else {}), **known.pop("stream", {})}
+            build_id = self._write(rows, build_id, {**({"stream": stream} if stream else {}), **known}, held)
+            if activate:
+                held()
+                if self.active() != before:
+                    raise CatalogError(f"{self.name}: another version became active meanwhile, {build_id} is kept aside")
+                self.files.replace(f"{self.root}/active", build_id)
+            return build_id
+
+    def _meta(self, build_id: str) -> dict:
+        return json.loads(self.files.read(f"{self.root}/{build_id}/meta.json"))
+
+    def _write(self, rows: DataFrame, build_id: str | None, extra: dict, held: Callable[[], None]) -> str:
+        schema, kind, buckets = self.schema(), self._kind(), self.catalog.buckets
         build_id = build_id or new_build_id(lambda b: self.files.exists(f"{self.root}/{b}"))
         draft = f"{self.root}/.{build_id}"
-        write_data(rows.select(*schema.names).withColumn(kv.BUCKET, kv.bucket_of(F.col(schema.key), self.catalog.buckets)), f"{draft}/data", schema.key)
+        write_data(rows.select(*schema.names).withColumn(kv.BUCKET, kv.bucket_of(F.col(schema.key), buckets)), f"{draft}/data", schema.key)
         written = self.catalog.spark.read.schema(schema.struct_type().add(kv.BUCKET, T.IntegerType())).parquet(f"{draft}/data")
         if kind == "inverted":
             write_postings(inverted.postings(written, schema), f"{draft}/postings")
         # The count comes from the footers that were just written.
-        meta = {"kind": kind, "build_id": build_id, "buckets": self.catalog.buckets, "record_count": written.count(), "bytes": self.files.bytes(draft), "columns": {str(f.number): f.name for f in schema.fields}, **extra}
+        meta = {"kind": kind, "build_id": build_id, "buckets": buckets, "record_count": written.count(), "bytes": self.files.bytes(draft), "columns": {str(f.number): f.name for f in schema.fields}, **extra}
         self.files.replace(f"{draft}/meta.json", json.dumps(meta, indent=2))
+        held()
         self.files.move(draft, f"{self.root}/{build_id}")
-        if activate:
-            self.files.replace(f"{self.root}/active", build_id)
         return build_id
 
     def _kind(self) -> str:
@@ -207,17 +286,16 @@ class Table:
         return self.acquire().rows.select(*self.schema().names)
 
     def upsert(self, delta: DataFrame, *order) -> str:
-        """Commits delta's rows in place of those of their keys; of repeated keys the last by order."""
-        base = self._base()
-        return self.commit(kv.batch_upsert(base, delta, self.schema(), *order) if order else kv.upsert(base, delta, self.schema()))
+        """Commits delta's rows in place of those of their keys; of repeated keys the last by order, or of the frame."""
+        return self.change(lambda base: kv.batch_upsert(base, delta, self.schema(), *order))
 
     def put_batch(self, delta: DataFrame, *order) -> str:
-        """Commits all of delta or raises and commits nothing."""
-        return self.commit(kv.put_batch(self._base(), delta, self.schema(), *(order or (F.lit(0),))))
+        """Commits all of delta or raises and commits nothing; of repeated keys the last by order, or of the frame."""
+        return self.change(lambda base: kv.put_batch(base, delta, self.schema(), *order))
 
     def delete(self, keys: DataFrame) -> str:
         """Commits the table without the keys of a frame (key)."""
-        return self.commit(kv.delete(self._base(), keys, self.schema()))
+        return self.change(lambda base: kv.delete(base, keys, self.schema()))
 
     def evolve(self, schema: TableSchema) -> None:
         """Replaces the schema by one that adds, renames or drops fields."""
@@ -263,11 +341,16 @@ class Catalog:
     # ------------------------------------------------ builds, releases, deployment
 
     def build(self, name: str, schema: TableSchema, rows: DataFrame, kind: str = "kv") -> Table:
-        """Rebuilds a table from nothing."""
-        self.files.delete(f"{self.root}/{check_name(name)}")
-        table = self.create(name, schema, kind)
-        table.commit(rows)
-        return table
+        """Rebuilds a table from nothing, beside the live one, which gives way when the new one is complete."""
+        folder, fresh = f"{self.root}/{check_name(name)}", f"{self.root}/{name}{SKIPPED_SUFFIX}"
+        self.files.delete(fresh)
+        self.create(f"{name}{SKIPPED_SUFFIX}", schema, kind).commit(rows)
+        old = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+        if self.files.exists(folder):
+            self.files.move(folder, old)
+        self.files.move(fresh, folder)
+        self.files.delete(old)
+        return Table(self, name)
 
     def _copy(self, source: str, target: str, schema: TableSchema) -> None:
         """A version to another place: data and postings by Spark, then the small files, then its name."""

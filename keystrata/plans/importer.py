@@ -32,9 +32,9 @@ class ImportResult:
 
 
 def rows_of(frame: DataFrame, schema: TableSchema) -> DataFrame:
-    """One row a key of an input read by files.read(): the last by file, then by row."""
+    """One row a key of an input read by files.read(): the last by the order of the inputs, then by row."""
     good = kv.drop_bad_keys(frame, schema)
-    return kv.last_wins(good, schema.key, F.col(files.FILE), F.col(files.ROW)).select(*schema.names)
+    return kv.last_wins(good, schema.key, F.col(files.POSITION), F.col(files.ROW)).select(*schema.names)
 
 
 def run(table: Table, inputs: list[str]) -> ImportResult:

@@ -16,7 +16,7 @@ from keystrata.sources.schema import TableSchema
 SUFFIXES = (".parquet", ".csv")
 #: Schemes of object stores, and the file systems that read them.
 STORES = {"s3": "s3a", "oss": "oss", "cos": "cosn", "obs": "obs", "gs": "gs"}
-FILE, ROW = "__file", "__row"
+FILE, ROW, POSITION = "__file", "__row", "__position"
 
 
 class InputError(ValueError):
@@ -63,9 +63,16 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     return sorted(found)
 
 
-def read_list(path: str) -> list[str]:
-    """Inputs of a list file: a line each, blank lines skipped, space at line ends cut."""
-    return [line.rstrip() for line in Path(path).read_text(encoding="utf-8").splitlines() if line.strip()]
+def read_list(path: str, spark: SparkSession | None = None) -> list[str]:
+    """Inputs of a list file: a line each, blank lines skipped, space at line ends cut.
+
+    With a session, the list may be in any file system that Spark reads.
+    """
+    if spark is None:
+        text = Path(path).read_text(encoding="utf-8")
+    else:
+        text = spark.read.text(spark_path(path), wholetext=True).first()[0]
+    return [line.rstrip() for line in text.splitlines() if line.strip()]
 
 
 def expand(spark: SparkSession, inputs: Iterable[str]) -> list[str]:
@@ -111,8 +118,40 @@ def read_csv(spark: SparkSession, path: str, schema: TableSchema) -> DataFrame:
     return frame.select(*out, F.col("_metadata.file_path").alias(FILE), F.monotonically_increasing_id().alias(ROW))
 
 
+def _resolved(spark: SparkSession, inputs: list[str]) -> list[str]:
+    """The files that inputs stand for, in order: an input that is a folder (as Spark writes) gives its parts, sorted."""
+    out = []
+    for item in inputs:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(item)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            raise InputError(f"no such input: {item}")
+        if not system.getFileStatus(path).isDirectory():
+            out.append(system.makeQualified(path).toUri().toString())
+            continue
+        files, found = system.listFiles(path, True), []
+        while files.hasNext():
+            one = files.next().getPath()
+            if one.getName()[0] not in "._":
+                found.append(one.toUri().toString())
+        out += sorted(found)
+    return out
+
+
+def _placed(frame: DataFrame, files: list[str]) -> DataFrame:
+    """Rows with the place of their file among the inputs, found in a table of as many rows as there are files."""
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    places = frame.sparkSession.createDataFrame([(f, i) for i, f in enumerate(dict.fromkeys(files))], "__path string, __place int")
+    joined = frame.join(places.select(plain("__path").alias("__path"), "__place"), plain(FILE) == F.col("__path"), "left")
+    place = F.coalesce("__place", F.raise_error(F.concat(F.lit("a row of no input: "), F.col(FILE))).cast("int"))
+    return joined.withColumn(POSITION, place).drop("__path", "__place")
+
+
 def read(spark: SparkSession, files: list[str], schema: TableSchema) -> DataFrame:
-    """All files, of either format, as one frame with __file and __row, which order rows of equal key."""
+    """All files, of either format, as one frame with __position, __file and __row, which order rows of equal key.
+
+    Positions follow the order in which the inputs are given, not that of their names.
+    """
     parquet = [f for f in files if f.lower().endswith(".parquet")]
     frames = [read_parquet(spark, parquet, schema)] if parquet else []
     frames += [read_csv(spark, f, schema) for f in files if f.lower().endswith(".csv")]
@@ -121,7 +160,7 @@ def read(spark: SparkSession, files: list[str], schema: TableSchema) -> DataFram
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
-    return out
+    return _placed(out, _resolved(spark, files))
 
 
 def estimate_rows(spark: SparkSession, files: list[str]) -> int:

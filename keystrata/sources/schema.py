@@ -22,7 +22,7 @@ TYPES: dict[str, T.DataType] = {
 }
 CANONICAL = {"float32": "float", "float64": "double"}
 KEY_TYPES = ("int32", "int64", "string")
-INDEX_TYPES = ("none", "inverted", "vector")
+INDEX_TYPES = ("none", "kv", "inverted", "vector")
 FORMATS = ("json", "fixed_row_binary", "sparse_row_binary")
 _FORMAT_ALIAS = {"spare_row_binary": "sparse_row_binary"}
 
@@ -103,10 +103,10 @@ class TableSchema:
         """A document that parse_schema() reads back to an equal schema."""
         return json.dumps(
             {
-                "name": self.name,
-                "pk": self.key,
+                "table_name": self.name,
                 "schema_version": self.version,
                 "table_format": self.table_format,
+                "pk": self.key,
                 "fields": [
                     {
                         "name": f.name,
@@ -114,9 +114,10 @@ class TableSchema:
                         "data_type": f.kind,
                         "is_array": f.is_array,
                         "nullable": f.nullable,
+                        "is_pk": f.name == self.key,
                         "is_index": f.is_index,
                         "index_type": f.index_type,
-                        "field_offset": f.offset,
+                        "fixed_off": f.offset,
                     }
                     for f in self.fields
                 ],
@@ -189,7 +190,7 @@ def parse_schema(text: str) -> TableSchema:
     shape = _FORMAT_ALIAS.get(shape, shape)
     if shape not in FORMATS:
         raise SchemaError(f"unknown table_format {shape!r}")
-    return TableSchema(doc.get("name", ""), key, tuple(fields), int(_first(doc, "schema_version", "version", default=1)), shape).validate()
+    return TableSchema(_first(doc, "table_name", "name", default=""), key, tuple(fields), int(_first(doc, "schema_version", "version", default=1)), shape).validate()
 
 
 def with_index(schema: TableSchema, *names: str) -> TableSchema:

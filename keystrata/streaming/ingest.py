@@ -55,20 +55,27 @@ def file_messages(spark: SparkSession, folder: str, per_batch: int = 1000) -> Da
     return spark.readStream.schema("offset long, value string").option("maxFilesPerTrigger", per_batch).json(folder)
 
 
-def apply_batch(table: Table, messages: DataFrame, batch: int | None = None, metrics: Registry | None = None) -> str | None:
-    """Folds messages into the table and commits; None if there is nothing to do or the batch was applied before."""
+def apply_batch(table: Table, messages: DataFrame, batch: int | None = None, metrics: Registry | None = None, run: str | None = None) -> str | None:
+    """Folds messages into the table and commits; None if there is nothing to do or the batch was applied before.
+
+    run names the stream that numbers the batches, such as its checkpoint; without it any stream's numbers count.
+    The base is read, compared with the batch's number and replaced under the table's lock.
+    """
     began, schema = time.time(), table.schema()
-    base, last = None, None
-    if table.active() is not None:
-        current = table.acquire()
-        base, last = current.rows.select(*schema.names), current.meta.get("stream", {})
-        if batch is not None and last.get("batch", -1) >= batch:
-            return None
     state = messages.agg(F.max("offset").alias("last"), F.count("*").alias("n")).first()
     if not state["n"]:
         return None
     parsed = cdc.parse(messages, schema)
-    build = table.commit(cdc.fold(parsed, schema, base), extra={"stream": {"batch": -1 if batch is None else batch, "offset": state["last"]}})
+
+    def folded(base: DataFrame) -> DataFrame | None:
+        last = table.acquire().meta.get("stream", {}) if table.active() is not None else {}
+        if batch is not None and last.get("batch", -1) >= batch and (run is None or last.get("run", run) == run):
+            return None
+        return cdc.fold_into(parsed, schema, base)
+
+    build = table.change(folded, extra={"stream": {"offset": state["last"], **({} if batch is None else {"batch": batch, "run": run})}})
+    if build is None:
+        return None
     table.files.replace(f"{table.root}/kafka.offset", str(state["last"]))
     if metrics is not None:
         bad = {r["status"]: r["n"] for r in parsed.groupBy("status").agg(F.count("*").alias("n")).collect()}
@@ -86,7 +93,7 @@ def run(table: Table, messages: DataFrame, checkpoint: str, *, available_now: bo
     def each(frame: DataFrame, batch: int) -> None:
         kept = frame.persist()
         try:
-            build = apply_batch(table, kept, batch, metrics)
+            build = apply_batch(table, kept, batch, metrics, checkpoint)
         finally:
             kept.unpersist()
         if build and after:

@@ -188,3 +188,88 @@ def test_offsets_and_seek():
     assert o["startingOffsetsByTimestamp"] == '{"t": {"2": 5}}' and o["startingOffsetsByTimestampStrategy"] == "latest"
     assert ingest.kafka_options(StreamSource("t", 2, "b:9"), saved=7)["startingOffsets"] == '{"t": {"2": 8}}'
     assert ingest.kafka_options(StreamSource("t", 2, "b:9"))["startingOffsets"] == "earliest"
+
+
+def test_a_replayed_batch_is_recognised_after_other_commits(spark, tmp_path):
+    t = Catalog(spark, str(tmp_path / "db")).create("u", USER)
+    clicks = lambda o, i: spark.createDataFrame([(o, json.dumps({"user_id": 1, "clicks": [i]}))], "offset long, value string")
+    assert ingest.apply_batch(t, clicks(0, 1), 0, run="cp")
+    t.upsert(spark.createDataFrame([(2, 5, [])], USER.struct_type()))
+    t.delete(spark.createDataFrame([(9,)], "key long"))
+    assert ingest.apply_batch(t, clicks(0, 1), 0, run="cp") is None
+    assert t.acquire().get(1).row.clicks == [1]
+    assert ingest.apply_batch(t, clicks(1, 2)) and ingest.apply_batch(t, clicks(0, 1), 0, run="cp") is None
+    assert ingest.apply_batch(t, clicks(2, 3), 0, run="another stream")
+    assert t.acquire().get(1).row.clicks == [1, 2, 3] and t.acquire().meta["stream"] == {"offset": 2, "batch": 0, "run": "another stream"}
+
+
+def test_no_commit_is_lost(spark, tmp_path):
+    t = Catalog(spark, str(tmp_path)).create("s", SESSION)
+    t.commit(spark.createDataFrame([("a", 1)], SESSION.struct_type()))
+    other = Catalog(spark, str(tmp_path)).open("s")
+    row = lambda k, v: spark.createDataFrame([(k, v)], SESSION.struct_type())
+
+    def slow(base):
+        with pytest.raises(CatalogError, match="locked"):
+            other.upsert(row("b", 2))
+        return kv.upsert(base, row("c", 3), SESSION)
+
+    t.change(slow)
+    other.upsert(row("b", 2))
+    assert {r.sid for r in t.acquire().rows.collect()} == {"a", "b", "c"}
+
+
+def test_a_lock_whose_writer_ended_is_taken_over(spark, tmp_path):
+    import os
+    import socket
+    import subprocess
+    import time
+
+    t = Catalog(spark, str(tmp_path)).create("s", SESSION)
+    rows = spark.createDataFrame([("a", 1)], SESSION.struct_type())
+    gone = subprocess.Popen(["true"])
+    gone.wait()
+    lock = tmp_path / "s" / ".lock"
+    for holder in ({"host": socket.gethostname(), "pid": gone.pid, "token": "x", "renewed": time.time()}, {"host": "elsewhere", "pid": 1, "token": "y", "renewed": time.time() - 10_000}):
+        t.files.replace(str(lock), json.dumps(holder))
+        t.commit(rows)
+        assert not lock.exists()
+    t.files.replace(str(lock), json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "token": "z", "renewed": time.time()}))
+    with pytest.raises(CatalogError, match="locked"):
+        t.commit(rows)
+    t.files.delete(str(lock))
+    with pytest.raises(CatalogError, match="lost"), t.lock() as held:
+        t.files.replace(str(lock), json.dumps({"token": "thief"}))
+        held()
+
+
+def test_the_last_row_follows_the_order_of_the_inputs(spark, tmp_path):
+    for name, value in (("a", 1), ("b", 2)):
+        spark.createDataFrame([("k", value), (name, value)], SESSION.struct_type()).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "c d.csv").write_text("sid,epoch\nk,3\n")
+    t = Catalog(spark, str(tmp_path / "db")).create("s", SESSION)
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    for inputs, want in ((at("a.parquet", "b.parquet"), 2), (at("b.parquet", "a.parquet"), 1), (at("c d.csv", "b.parquet"), 2), (at("b.parquet", "c d.csv", "a.parquet"), 1), (at("b.parquet", "c d.csv"), 3)):
+        importer.run(t, inputs)
+        assert t.acquire().get("k").row.epoch == want
+    (tmp_path / "list").write_text("a.parquet  \n\n b.csv\n")
+    assert files.read_list(str(tmp_path / "list"), spark) == ["a.parquet", " b.csv"]
+
+
+def test_repeated_keys_without_an_order(spark, tmp_path):
+    t = Catalog(spark, str(tmp_path)).create("s", SESSION)
+    rows = spark.createDataFrame([("a", 1), ("b", 5), ("a", 2)], SESSION.struct_type())
+    t.upsert(rows)
+    assert {(r.sid, r.epoch) for r in t.acquire().rows.collect()} == {("a", 2), ("b", 5)}
+    t.put_batch(spark.createDataFrame([("a", 7), ("a", 8)], SESSION.struct_type()))
+    assert t.acquire().get("a").row.epoch == 8 and t.acquire().meta["record_count"] == 2
+
+
+def test_rebuilding_keeps_the_live_table_until_the_end(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.build("s", SESSION, spark.createDataFrame([("a", 1)], SESSION.struct_type()))
+    with pytest.raises(Exception):  # noqa: B017
+        c.build("s", SESSION, spark.createDataFrame([("a", 2)], SESSION.struct_type()).withColumn("epoch", F.raise_error(F.lit("no")).cast("long")))
+    assert c.open("s").acquire().get("a").row.epoch == 1 and c.tables() == ["s"]
+    c.build("s", SESSION, spark.createDataFrame([("a", 3)], SESSION.struct_type()))
+    assert c.open("s").acquire().get("a").row.epoch == 3

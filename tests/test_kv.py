@@ -94,3 +94,28 @@ def test_empty_table(spark):
     assert kv.size(empty).first()["size"] == 0
     assert kv.numbered(empty, USER).count() == 0
     assert not kv.lookup(empty, USER, 1).found
+
+
+def test_numbers_have_no_gap_over_many_unequal_partitions(spark, tmp_path):
+    """Over a million rows, wide ones, in unequal files, with adaptive execution on."""
+    n = 1_200_000
+    rows = spark.range(n).select((F.col("id") * 7 - 3_000_000).alias("user_id"), F.lit(1).alias("age"), F.repeat(F.lit("n"), 40).alias("name"), F.array("id").alias("clk"))
+    rows.where("user_id % 5 <> 0").repartition(2).write.parquet(str(tmp_path / "u"))
+    rows.where("user_id % 5 = 0").repartition(9).write.mode("append").parquet(str(tmp_path / "u"))
+    got = kv.numbered(spark.read.parquet(str(tmp_path / "u")), USER)
+    wrong = F.count_if(F.col("doc_id") != (F.col("user_id") + 3_000_000) / 7 + 1)
+    assert got.agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id"), wrong).first()[:] == (n, n, 1, n, 0)
+    got.write.parquet(str(tmp_path / "numbered"))
+    assert spark.read.parquet(str(tmp_path / "numbered")).agg(F.count_distinct("doc_id")).first()[0] == n
+
+
+def test_numbers_of_text_keys(spark):
+    t = spark.createDataFrame([(w, i) for i, w in enumerate(["b", "ä", "a", "B", "", "aa"])], "sid string, epoch long")
+    assert [r.sid for r in kv.numbered(t, SESSION).orderBy("doc_id").collect()] == sorted(["b", "ä", "a", "B", "", "aa"], key=str.encode)
+
+
+def test_put_and_batch_put(spark, users):
+    assert kv.put(users, spark.createDataFrame([(7, 1)], "user_id long, age int"), USER).count() == 4
+    delta = spark.createDataFrame([(7, 1), (1, 9), (7, 2)], "user_id long, age int").coalesce(1)
+    rows = {r.user_id: r.age for r in kv.batch_put(users, delta, USER).collect()}
+    assert rows == {1: 9, 2: None, 3: 30, 7: 2}

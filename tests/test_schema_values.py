@@ -111,3 +111,12 @@ def test_write_violations():
 
 def test_row_as_map():
     assert values.as_map({1: 5, "age": 3, 77: "x"}, parse_schema(USER)) == {"user_id": 5, "age": 3, "field_id_77": "x"}
+
+
+def test_documents_by_table_name_and_kv_index():
+    text = '{"table_name": "user", "pk": "user_id", "fields": [{"name": "user_id", "data_type": "int64", "is_pk": true, "is_index": false, "field_id": 1, "index_type": "kv"}, {"name": "bio", "data_type": "string", "is_pk": false, "is_index": true, "field_id": 2, "index_type": "inverted", "fixed_off": 8}]}'
+    s = parse_schema(text)
+    assert (s.name, s.key, s["user_id"].index_type, s["bio"].offset) == ("user", "user_id", "kv", 8)
+    again = parse_schema(s.to_json())
+    assert again == s and again.name == "user"
+    assert '"table_name": "user"' in s.to_json()
