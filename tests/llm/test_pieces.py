@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -64,8 +65,9 @@ def test_nbest_against_all_segmentations(text):
 def test_words_solved_together_equal_words_solved_alone():
     rng = random.Random(4)
     words = sorted({pieces.MARK * rng.randint(0, 2) + "".join(rng.choices("abcdeé\n\t.,ñ", k=rng.randint(1, 12))) for _ in range(500)}, key=len)
-    for w, (score, ids, loss) in zip(words, V._solved(words, True), strict=True):
-        want = V.best_of(w)
+    V._learn(set(words))
+    for w in words:
+        want, (score, ids, loss) = V.best_of(w), V.entry(w)
         assert (score, ids) == want[:2] and loss == pytest.approx(want[2])
 
 
@@ -98,6 +100,30 @@ def test_the_query_decodes_every_segmentation(spark, documents, tmp_path):
 def test_results_don_t_depend_on_what_is_remembered():
     texts = ["the cat sat on the mat", "on the mat, the cat"]
     a = [V.encode(t, 3)[1].tolist() for t in texts]
-    V.known.clear()
-    V.older.clear()
+    V.forget()
     assert [V.encode(t, 3)[1].tolist() for t in reversed(texts)][::-1] == a
+
+
+def test_long_words_take_memory_in_proportion():
+    """100,000 characters without a space: one letter, chance, a script without spaces; N-best included."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    cjk = "".join(rng.choices([*"日本語文章中国人民大学生活東京都道府県", "the"], k=95_000))
+    for text in ("a" * 100_000, base64, cjk):
+        V.forget()
+        tracemalloc.start()
+        score, ids, more = V.encode(text, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 500 << 20
+        assert V.decode(ids.tolist()) == text and len(more) == 3
+        assert all(V.decode(applied(ids.tolist(), edits)) == text and s <= score for s, edits in more)
+
+
+def test_bounded_search_gives_the_paths_of_the_full_one():
+    for word in ("▁hello", "▁the", "▁aaaaaaa", "▁entertainment"):
+        full = [s for s, _ in itertools.islice(V.paths(word), 6)]
+        got = list(V.paths(word, None, 6))
+        assert [s for s, _ in got][:6] == pytest.approx(full) and len({ids for _, ids in got}) == len(got)
