@@ -74,6 +74,14 @@ def block_count(frame: DataFrame, text: str, block_bytes: int) -> int:
     return max(2 * frame.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
 
 
+def occurring(parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """For each part that occurs in ascending part numbers: the part, and where it begins and ends. No other is looked at."""
+    if not len(parts):
+        return []
+    begin = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+    return list(zip(parts[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(parts)], strict=True))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

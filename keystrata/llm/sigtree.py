@@ -6,12 +6,15 @@ documents link when 100 * intersection >= 80 * union. The join is exact:
 1. Documents of equal sets become one representative with a number of copies, by partial aggregation on a digest.
 2. Shingles are counted over all representatives (blocks send sorted counts to range buckets and get back those above
    one). A set's rarest shingles, the 0.2 n + 1 first of the common order, are its keys; linked sets share a key.
-3. Sets that share keys, directly or through others, form a candidate cluster; each set is sent to its cluster once.
-   Rare-first order keeps clusters close to the real groups. A cluster above LIMIT is cut into blocks, and each pair
-   of its blocks is a task of its own.
-4. In a task, a tree holds the sets: nodes carry OR-combined token bitmaps and ranges of sizes. Two trees are walked
-   together, and a pair of nodes is dropped when its sizes or its largest possible overlap rule every pair out. Leaf
-   pairs are settled on exact sets. Tasks return counts of links and the smallest partner reached, never pairs.
+3. Sets that share keys, directly or through others, form a candidate cluster, which only says where sets meet: each
+   is sent to its cluster once, and small clusters fill tasks of up to LIMIT sets or SHINGLES shingles. A larger one is
+   dealt in the cheaper of two ways, by the rows that they send: its sets in blocks, a task for each pair of blocks
+   (many copies of one text), or a task for each distinct group of sets with a common key, where a pair counts at its
+   smallest common group only (long chains of texts that each share something with the next).
+4. In a task, a tree holds all its sets, whatever cluster they are of: leaves of LEAF sets, nodes of FAN children, with
+   OR-combined token bitmaps and ranges of sizes. The tree is walked against itself or another one, and a pair of nodes
+   is dropped when its sizes or its largest possible overlap rule every pair of sets out. What the walk leaves is
+   settled on exact sets. Tasks return counts of links and the smallest partner reached, never pairs.
 
 Edge cases: null or empty texts have no shingle and link with nothing, each being a component of its own; repeated
 rows count as copies; a null doc_id is returned with a null component; an empty table gives no rows.
@@ -25,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LOWER, U, block_count, join_apart, pieces, release, remove, shared_folder, shuffle_partitions, table, window_hashes, words_of, written
+from keystrata.llm.common import LOWER, U, block_count, join_apart, occurring, pieces, release, remove, shared_folder, shuffle_partitions, table, window_hashes, words_of, written
 from keystrata.llm.graph import components
 
 WORDS = 5
 PERCENT = 80
 BLOCK_BYTES = 8 << 20
-LIMIT = 3000
-LEAF = 24
+LIMIT = 1000
+#: Clusters of more than MANY times LIMIT sets have blocks three times as large, which are sent a third as often.
+MANY = 20
+SHINGLES = 2 << 20
+LEAF = 4
 FAN = 4
 
 
@@ -126,9 +132,7 @@ def _candidates(docs: DataFrame, members: DataFrame, words: int, percent: int) -
             return empty.empty_table()
         sets = [short(s) for _, s in own_sets(texts, reps["rep_id"])]
         values, times = np.unique(np.concatenate(sets), return_counts=True)
-        number = (values / step).astype(np.int64)
-        cut = np.searchsorted(number, np.arange(buckets + 1))
-        rows = [(b, i, j) for b, i, j in zip(range(buckets), cut[:-1], cut[1:], strict=True) if j > i]
+        rows = occurring((values / step).astype(np.int64))
         p = texts["pid"][0].as_py()
         return pa.table([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([p] * len(rows), pa.int32()), pa.array([_packed(values[i:j]) for _, i, j in rows], pa.binary()), pa.array([np.minimum(times[i:j], 255).astype(np.uint8).tobytes() for _, i, j in rows], pa.binary())], schema=empty)
 
@@ -196,13 +200,21 @@ class Tree:
                 break
             width = FAN
 
-    def pairs(self, other: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves that may hold a linked pair, a level of both trees at a time."""
+    def pairs(self, other: Tree, percent: int, tally: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves that may hold a linked pair, a level of both trees at a time; of one tree, x <= y.
+
+        tally counts the pairs of nodes looked at and those dropped.
+        """
         depth = max(len(self.levels), len(other.levels)) - 1
         a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for level in range(depth, -1, -1):
             la, lb = min(level, len(self.levels) - 1), min(level, len(other.levels) - 1)
+            if self is other:
+                a, b = a[a <= b], b[a <= b]
             keep = self._may(self.levels[la], other.levels[lb], a, b, percent)
+            if tally is not None:
+                tally["seen"] = tally.get("seen", 0) + len(a)
+                tally["dropped"] = tally.get("dropped", 0) + int(len(a) - keep.sum())
             a, b = a[keep], b[keep]
             if level == 0:
                 break
@@ -222,26 +234,29 @@ class Tree:
 
     @staticmethod
     def _may(x: tuple, y: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), 4096):
-            p, q = a[i : i + 4096], b[i : i + 4096]
-            ok = (100 * x[2][p] >= percent * y[1][q]) & (100 * y[2][q] >= percent * x[1][p])
+        keep = (100 * x[2][a] >= percent * y[1][b]) & (100 * y[2][b] >= percent * x[1][a])
+        left = np.flatnonzero(keep)
+        for i in range(0, len(left), 4096):
+            some = left[i : i + 4096]
+            p, q = a[some], b[some]
             shared = np.bitwise_count(x[0][p] & y[0][q]).sum(1).astype(np.int64)
             most = np.minimum(x[3][p], y[3][q]) + shared
-            keep[i : i + 4096] = ok & ((100 + percent) * most >= percent * (x[1][p] + y[1][q]))
+            keep[some] = (100 + percent) * most >= percent * (x[1][p] + y[1][q])
         return keep
 
 
-def _bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(sets), width // 64), U)
-    for i, s in enumerate(sets):
-        bit = s & U(width - 1)
-        np.bitwise_or.at(out[i], (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
-    return out
+def _bitmap(places: np.ndarray, width: int) -> np.ndarray:
+    """A row of width bits (a multiple of 64) with those at the places set."""
+    bits = np.zeros(width, bool)
+    bits[places] = True
+    return np.packbits(bits, bitorder="little").view(U)
+
 
+def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT, hint: np.ndarray | None = None, tally: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (i, j): within left where right is None (i < j), else across. Sets are sorted and not empty.
 
-def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs (i, j): within left where right is None (i < j), else across. Sets are sorted and not empty."""
+    hint orders the sets of left before all else; sets that are alike should lie together.
+    """
     sides = [left] if right is None else [left, right]
     if any(not side for side in sides):
         return
@@ -249,47 +264,54 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     distinct, times = np.unique(everything, return_counts=True)
     common = distinct[times > 1]
     # Shingles that two sets here share, numbered: with few of them, bitmaps of numbers are exact sets.
-    exact = len(common) * sum(map(len, sides)) <= 8 * (48 << 20)
-    width = 1 << max(8, math.ceil(math.log2(2 * np.median([len(s) for side in sides for s in side]) + 1)))
+    exact = 0 < len(common) * sum(map(len, sides)) <= 8 * (32 << 20)
+    width = 1 << max(8, math.ceil(math.log2(8 * np.quantile([len(s) for side in sides for s in side], 0.75) + 1)))
     prepared = []
     for side in sides:
         sizes = np.array([len(s) for s in side], np.int64)
-        order = np.lexsort(([int(s[0]) for s in side], sizes))
+        least = np.array([s[0] for s in side], U)
+        # Sets of like size lie together, and of these such as share their smallest hash.
+        band = np.floor(np.log(sizes) / math.log(100 / percent))
+        order = np.lexsort((sizes, least, band, hint if hint is not None and side is left else band))
         ordered = [side[i] for i in order]
+        bits = np.stack([_bitmap((s & U(width - 1)).astype(np.int64), width) for s in ordered])
         full = None
-        if exact and len(common):
+        if exact:
             full = np.zeros((len(side), -(-len(common) // 64)), U)
             for i, s in enumerate(ordered):
                 at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                at = at[common[at] == s].astype(U)
-                np.bitwise_or.at(full[i], (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
-        prepared.append((order, ordered, sizes[order], Tree(_bitmaps(ordered, width), sizes[order]), full))
+                full[i] = _bitmap(at[common[at] == s], 64 * full.shape[1])
+        prepared.append((order, ordered, sizes[order], Tree(bits, sizes[order]), full))
     if not len(common):
         return
     (oa, sa, na, ta, fa), (ob, sb, nb, tb, fb) = prepared[0], prepared[-1]
-    for p, q in ta.pairs(tb, percent):
-        for x, y in zip(p.tolist(), q.tolist(), strict=True):
-            if right is None and x > y:
-                continue
-            i, j = np.meshgrid(np.arange(x * LEAF, min(len(sa), (x + 1) * LEAF)), np.arange(y * LEAF, min(len(sb), (y + 1) * LEAF)), indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            if right is None:
-                i, j = i[i < j], j[i < j]
-            fits = (100 * na[i] >= percent * nb[j]) & (100 * nb[j] >= percent * na[i])
-            i, j = i[fits], j[fits]
-            if not len(i):
-                continue
-            if fa is not None:
-                overlap = np.bitwise_count(fa[i] & fb[j]).sum(1).astype(np.int64)
+    inside = np.arange(LEAF)
+    most = max(64, (16 << 20) // (8 * fa.shape[1])) if exact else 1 << 14
+    for p, q in ta.pairs(tb, percent, tally):
+        i = np.broadcast_to(p[:, None, None] * LEAF + inside[None, :, None], (len(p), LEAF, LEAF)).ravel()
+        j = np.broadcast_to(q[:, None, None] * LEAF + inside[None, None, :], (len(p), LEAF, LEAF)).ravel()
+        fits = (i < len(sa)) & (j < len(sb))
+        if right is None:
+            fits &= i < j
+        i, j = i[fits], j[fits]
+        fits = (100 * na[i] >= percent * nb[j]) & (100 * nb[j] >= percent * na[i])
+        i, j = i[fits], j[fits]
+        for k in range(0, len(i), most):
+            u, v = i[k : k + most], j[k : k + most]
+            if exact:
+                overlap = np.bitwise_count(fa[u] & fb[v]).sum(1).astype(np.int64)
             else:
-                overlap = np.array([len(np.intersect1d(sa[u], sb[v], assume_unique=True)) for u, v in zip(i, j, strict=True)], np.int64)
-            linked = 100 * overlap >= percent * (na[i] + nb[j] - overlap)
+                overlap = np.array([len(np.intersect1d(sa[x], sb[y], assume_unique=True)) for x, y in zip(u, v, strict=True)], np.int64)
+            linked = 100 * overlap >= percent * (na[u] + nb[v] - overlap)
             if linked.any():
-                yield oa[i[linked]], ob[j[linked]]
+                yield oa[u[linked]], ob[v[linked]]
 
 
-def settle(ids: list[int], copies: list[int], sets: list[np.ndarray], other: list[bool] | None, percent: int) -> tuple[list[int], list[int]]:
-    """For each set of a task: the smallest id that its links reach here, and its number of linked rows."""
+def settle(ids: list[int], copies: list[int], sets: list[np.ndarray], other: list[bool] | None, percent: int, hint: list[int] | None = None, groups: list[np.ndarray] | None = None, group: int | None = None) -> tuple[list[int], list[int]]:
+    """For each set of a task: the smallest id that its links reach here, and its number of linked rows.
+
+    With groups, those that each set is in, a link counts where `group` is the smallest that both sets are in.
+    """
     n = len(ids)
     parent, links = list(range(n)), np.zeros(n, np.int64)
     weight = np.array(copies, np.int64)
@@ -301,85 +323,121 @@ def settle(ids: list[int], copies: list[int], sets: list[np.ndarray], other: lis
         return x
 
     if other is None:
-        left, right = list(range(n)), None
+        left, right = np.arange(n), None
     else:
-        left, right = [i for i in range(n) if not other[i]], [i for i in range(n) if other[i]]
-    for i, j in tree_join([sets[k] for k in left], None if right is None else [sets[k] for k in right], percent):
-        a = np.array(left)[i]
-        b = np.array(left if right is None else right)[j]
-        np.add.at(links, a, weight[b])
-        np.add.at(links, b, weight[a])
+        left, right = np.flatnonzero(~np.array(other)), np.flatnonzero(other)
+    for i, j in tree_join([sets[k] for k in left], None if right is None else [sets[k] for k in right], percent, None if hint is None else np.array(hint, U)):
+        a = left[i]
+        b = (left if right is None else right)[j]
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             x, y = find(x), find(y)
             if x != y:
                 if ids[x] > ids[y]:
                     x, y = y, x
                 parent[y] = x
+        if groups is not None:
+            here = np.array([np.intersect1d(groups[x], groups[y], assume_unique=True)[0] == group for x, y in zip(a, b, strict=True)], bool)
+            a, b = a[here], b[here]
+        np.add.at(links, a, weight[b])
+        np.add.at(links, b, weight[a])
     return [ids[find(i)] for i in range(n)], links.tolist()
 
 
 def _settled(tasks: DataFrame, percent: int) -> DataFrame:
-    """Streams tasks, each being rows of equal (cluster, i, j), through the tree join."""
+    """Streams tasks, each being rows of equal (unit, i, j), through the tree join; whole clusters (i = -1) share trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, held, out = None, [], 0, []
 
         def close() -> None:
+            nonlocal rows, held
             if rows:
-                root, links = settle([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[3], U) for r in rows], None if key[1] == key[2] else [r[2] == key[2] for r in rows], percent)
-                out.extend((r[0], m, k, key[1] != -1) for r, m, k in zip(rows, root, links, strict=True))
+                unit, i, j = key
+                whole, other = i == -1, None if i == j else [r[2] == j for r in rows]
+                groups = [r[4] for r in rows] if rows[0][4] is not None else None
+                root, links = settle([r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows], other, percent, [r[5] for r in rows] if whole else None, groups, unit)
+                out.extend((r[0], m, k, not whole) for r, m, k in zip(rows, root, links, strict=True))
+            rows, held = [], 0
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "root", "links", "split"])
             out.clear()
             return batch
 
+        number = 0
         for batch in batches:
-            for cluster, i, j, doc, copies, block, blob in zip(*(batch[c].to_pylist() for c in ("cluster", "i", "j", "doc_id", "copies", "block", "shingles")), strict=True):
-                if (cluster, i, j) != key:
-                    close()
-                    key, rows = (cluster, i, j), []
-                    if len(out) > 20_000:
-                        yield flush()
-                rows.append((doc, copies, block, blob))
+            for unit, i, j, doc, copies, block, groups, blob in zip(*(batch[c].to_pylist() for c in ("unit", "i", "j", "doc_id", "copies", "block", "groups", "shingles")), strict=True):
+                if (unit, i, j) != key:
+                    if key is None or not (key[1] == i == -1) or len(rows) >= LIMIT or held >= SHINGLES:
+                        close()
+                        if len(out) > 20_000:
+                            yield flush()
+                    key, number = (unit, i, j), number + 1
+                rows.append((doc, copies, block, np.frombuffer(blob, U), None if groups is None else np.sort(np.array(groups, np.int64)), number))
+                held += len(blob) >> 3
         close()
         if out:
             yield flush()
 
-    dealt = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    # Whole clusters come together by -1, split ones one by one.
+    dealt = tasks.repartition("unit", "i", "j").sortWithinPartitions("i", "j", "unit", "doc_id")
     return dealt.mapInArrow(run, "doc_id long, root long, links long, split boolean")
 
 
+def _parts(members: Column, shingles: Column) -> Column:
+    """Blocks of a unit, so that a pair of them has about LIMIT sets, and SHINGLES shingles, at most."""
+    limit = F.when(members > MANY * LIMIT, 3 * LIMIT).otherwise(LIMIT)
+    need = F.greatest(members / limit, shingles / F.lit(SHINGLES))
+    return F.when(need > 1, F.ceil(2 * need)).otherwise(1).cast("int")
+
+
+def _units(found: DataFrame, keys: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Where each set is sent: doc_id, unit, parts, whole, and the groups of sets of sparse clusters."""
+    sizes = found.select("doc_id", "n")
+    known = clusters.join(sizes, "doc_id")
+    count = known.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total")).withColumn("parts", _parts(F.col("members"), F.col("total")))
+    none = F.lit(None).cast("array<long>").alias("groups")
+    placed = join_apart(clusters, count, "cluster").select("doc_id", F.col("cluster").alias("unit"), "parts", (F.col("parts") == 1).alias("whole"), none)
+    large = count.where("parts > 1").select("cluster", (F.col("members") * F.col("parts")).alias("cost"))
+    if large.isEmpty():
+        return placed
+    # Groups of sets with a common key inside large clusters; keys of the same sets are one group.
+    held = keys.join(join_apart(known, large, "cluster").select("doc_id", "n", "cluster"), "doc_id")
+    group = held.groupBy("cluster", "key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same")).where("members > 1")
+    group = group.groupBy("cluster", "members", "total", "same").agg(F.min("key").alias("key")).withColumn("parts", _parts(F.col("members"), F.col("total")))
+    sparse = group.groupBy("cluster").agg(F.sum(F.col("members") * F.col("parts")).alias("by_group")).join(large, "cluster").where("by_group < cost").select("cluster")
+    member = join_apart(held.select("doc_id", "key", "cluster"), group.select("cluster", "key", "parts").join(sparse, "cluster"), "cluster", "key")
+    groups = member.groupBy("doc_id").agg(F.collect_list("key").alias("groups"))  # at most the keys of a set
+    apart = member.join(groups, "doc_id").select("doc_id", F.col("key").alias("unit"), "parts", F.lit(False).alias("whole"), "groups")
+    return placed.join(sparse.withColumnRenamed("cluster", "unit"), "unit", "left_anti").select(*apart.columns).unionByName(apart)
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     members = written(_members(written(_signatures(docs, words), folder, "signatures")), folder, "members")
+    remove(spark, f"{folder}/signatures")
     found = written(_candidates(docs, members, words, percent), folder, "candidates")
     release(spark)
     keys = found.select("doc_id", F.explode("keys").alias("key"))
     center = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
     edges = join_apart(keys, center, "key").select(F.col("doc_id").alias("u"), F.col("center").alias("v"))
-    clusters = components(edges, folder, "near").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    count = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    clusters = written(components(edges, folder, "near").withColumnsRenamed({"node": "doc_id", "component": "cluster"}), folder, "clusters")
     copies = members.where("doc_id = rep_id").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    # The sets are the large side; they are shuffled once, to what is known of each document.
-    known = join_apart(clusters, count, "cluster").join(copies, "doc_id")
-    rows = found.select("doc_id", "shingles").join(known, "doc_id")
-    parts = F.when(F.col("members") > LIMIT, F.ceil(F.col("members") * 2 / LIMIT)).otherwise(1).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = rows.withColumn("with", other).select(
-        "cluster", "doc_id", "copies", "block", "shingles",
-        F.when(F.col("with") == -1, -1).otherwise(F.least("block", "with")).alias("i"),
-        F.when(F.col("with") == -1, -1).otherwise(F.greatest("block", "with")).alias("j"),
-    )
+    # The sets are the large side; they are shuffled once, to what is known of each document, and once to their tasks.
+    placed = _units(found, keys, clusters).join(copies, "doc_id")
+    rows = found.select("doc_id", "shingles").join(placed, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.col("block"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    end = lambda f: F.when(F.col("whole"), -1).otherwise(f("block", "with"))
+    tasks = rows.withColumn("with", other).select("unit", "doc_id", "copies", "block", "groups", "shingles", end(F.least).alias("i"), end(F.greatest).alias("j"))
     settled = written(_settled(tasks, percent), folder, "settled")
     remove(spark, f"{folder}/candidates")
+    remove(spark, f"{folder}/clusters")
     release(spark)
     links = settled.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("split").alias("split"))
     if settled.where("split").limit(1).count():
-        # Blocks of one cluster were settled apart: their links meet here.
+        # Blocks or groups of one cluster were settled apart: their links meet here.
         across = components(settled.where("split AND doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v")), folder, "across")
         links = links.join(across.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("component", "root"))
     # As a table its size is known, and a set with many copies is no hot key of a shuffle while it is short.

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import rlz, sigtree, vectors
 from tests.llm.conftest import DDL
@@ -189,3 +190,54 @@ def test_vector_odd_tables(spark):
     assert vectors.near(spark.createDataFrame([], ddl)).count() == 0
     rows = vectors.near(spark.createDataFrame([(4, [1.0, 0.0], 1, "x"), (4, [1.0, 0.0], 1, "x"), (9, [2.0, 0.0], 1, "x"), (None, [1.0, 0.0], 1, "x")], ddl)).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in rows) == [(-1, 0, None, True), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False)]
+
+
+def test_trees_drop_pairs_of_nodes_on_real_tables():
+    """On the documents of the largest table, all in one tree, as many as a task holds."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].combine_chunks()
+    sets = [s for s in sigtree.shingle_sets(texts) if len(s)]
+    sets = list({s.tobytes(): s for s in sets}.values())[:3000]
+    tally = {}
+    got = {tuple(sorted(p)) for a, b in sigtree.tree_join(sets, None, tally=tally) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    holders, want = defaultdict(list), set()
+    for i, s in enumerate(sets):
+        for h in s.tolist():
+            holders[h].append(i)
+    for i, j in {(i, j) for ids in holders.values() if 1 < len(ids) < 400 for k, i in enumerate(ids) for j in ids[k + 1 :]}:
+        o = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * o >= 80 * (len(sets[i]) + len(sets[j]) - o):
+            want.add((i, j))
+    assert got == want and len(want) > 5
+    leaves = -(-len(sets) // sigtree.LEAF)
+    assert tally["dropped"] > 20_000 and tally["seen"] - tally["dropped"] < 0.15 * leaves * leaves / 2
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_jaccard_in_large_clusters(spark, monkeypatch, dense):
+    """A chain, in which each text shares half its passages with the next, and many near copies of one text."""
+    monkeypatch.setattr(sigtree, "LIMIT", 20)
+    passage = lambda k: [f"p{k}w{i}" for i in range(12)]
+    rows = [(i, " ".join(passage(i) + ["join"] * 5 + passage(i + 1)), "x") for i in range(150)]
+    rows += [(1000 + i, " ".join(passage(i) + ["join"] * 5 + passage(i + 1)[:-1] + ["other"]), "x") for i in range(0, 150, 7)]
+    if dense:
+        rows = [(i, " ".join([*(f"d{k}" if k != 3 * (i % 60) else f"e{i}" for k in range(200)), "end"]), "x") for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, unit string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in sigtree.join(frame).collect()}
+    assert got == jaccard(rows)
+
+
+def test_a_chain_sends_rows_in_proportion(spark, monkeypatch):
+    """Sets that all share some rare shingle with others: what is sent to tasks is linear in their number."""
+    monkeypatch.setattr(sigtree, "LIMIT", 20)
+    sent = {}
+    for n in (200, 800):
+        rows = [(i, i * 1, [i, i + 1], b"") for i in range(n)]
+        found = spark.createDataFrame(rows, "doc_id long, n long, keys array<long>, shingles binary").withColumn("n", F.lit(30).cast("long"))
+        keys = found.select("doc_id", F.explode("keys").alias("key"))
+        clusters = found.select("doc_id", F.lit(0).cast("long").alias("cluster"))
+        units = sigtree._units(found, keys, clusters)
+        sent[n] = units.agg(F.sum("parts")).first()[0]
+        assert units.agg(F.max("parts")).first()[0] == 1
+    assert sent[800] < 4.2 * sent[200]
