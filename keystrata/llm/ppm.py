@@ -8,8 +8,8 @@ an end mark; contexts before the first byte are filled with that mark. Its score
 
 The trie is never in one place. Documents are dealt into blocks; a block sends each distinct run of ORDER + 1 bytes
 once, with its count, to the bucket of its hash. Buckets add up, and hand the distinct runs to model partitions by
-the last three bytes of context, where all orders above two are complete; counts of orders up to two (at most the
-three-byte sequences there are) go to every model partition. Probabilities return the same way, bucket by bucket, so
+the last three bytes of context, where all orders above two are complete; counts of order two go to the partitions
+that have a context with that end (256 at most), those of orders zero and one, 65,536 at most, to all. Probabilities return the same way, bucket by bucket, so
 traffic is bounded by the distinct runs of a block and grows with the input. A run that is in every document costs
 its bucket one row a block.
 
@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import CHUNK, LOWER, U, binary_parts, block_count, crc_rest, mix, pieces, shuffle_partitions, table, words_of
+from keystrata.llm.common import CHUNK, LOWER, U, binary_parts, block_count, crc_rest, mix, occurring, pieces, shuffle_partitions, table, words_of
 
 ORDER = 5
 BLOCK_BYTES = 12 << 20
@@ -73,11 +74,11 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that groups keys by the part of their hash, and where parts begin in it."""
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that groups keys by the part of their hash, and the parts that occur with where they begin and end in it."""
     part = (mix(keys) % U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    return order, occurring(part[order])
 
 
 class Model:
@@ -134,13 +135,16 @@ class Model:
         return out
 
 
-def partition_model(runs: np.ndarray, counts: np.ndarray, low: np.ndarray, low_counts: np.ndarray, order: int = ORDER) -> Model:
-    """The model of a partition: all runs of its contexts, and the counts of all three-byte runs."""
+def partition_model(runs: np.ndarray, counts: np.ndarray, low: np.ndarray, low_counts: np.ndarray, order: int = ORDER, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """The model of a partition: all runs of its contexts, and the counts of three-byte runs of what these end with.
+
+    pairs: the counts of all two-byte runs; left out, they come from the three-byte runs, which have to be all then.
+    """
     known = counts > 0
     runs, counts = runs[known], counts[known]
     tables = []
     for k in range(order + 1):
-        source, weight = (low, low_counts) if k <= 2 else (runs, counts)
+        source, weight = (pairs or (low, low_counts)) if k <= 1 else (low, low_counts) if k == 2 else (runs, counts)
         tables.append(_added(source & U((1 << (8 * (k + 1))) - 1), weight))
     return Model(tables)
 
@@ -198,10 +202,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         k1, k2, n = block_words(block)
         wo, wcut = _dealt(k1, buckets)
         k1, k2, n = k1[wo], k2[wo], n[wo]
-        s = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        t = [slice(a, b) for a, b in zip(wcut[:-1], wcut[1:], strict=True)]
-        some = [b for b in range(buckets) if cut[b + 1] > cut[b] or wcut[b + 1] > wcut[b]]
-        s, t = [s[b] for b in some], [t[b] for b in some]
+        s, t = ({b: slice(i, j) for b, i, j in found} for found in (cut, wcut))
+        some, none = sorted(s.keys() | t.keys()), slice(0, 0)
+        s, t = [s.get(b, none) for b in some], [t.get(b, none) for b in some]
         blobs = [[runs[x].tobytes() for x in s], [counts[x].astype(np.uint32).tobytes() for x in s], [k1[x].tobytes() for x in t], [k2[x].tobytes() for x in t], [n[x].astype(np.uint32).tobytes() for x in t]]
         return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], schema=asked)
 
@@ -221,25 +224,46 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def to_models(key: tuple, rows: pa.Table) -> pa.Table:
         runs, counts, o, cut = bucket_runs(rows)
         runs, counts = runs[o], counts[o]
-        some = [(m, a, b) for m, a, b in zip(range(models), cut[:-1], cut[1:], strict=True) if b > a]
-        return pa.table([pa.array([m for m, _, _ in some], pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), pa.array([runs[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in some], pa.binary())], schema=moved)
+        return pa.table([pa.array([m for m, _, _ in cut], pa.int32()), pa.array([key[0].as_py()] * len(cut), pa.int32()), pa.array([runs[a:b].tobytes() for _, a, b in cut], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in cut], pa.binary())], schema=moved)
 
     shards = 16
-    lows = pa.schema([("shard", pa.int32()), ("runs", pa.binary()), ("counts", pa.binary())])
-
-    def by_shard(runs: np.ndarray, counts: np.ndarray) -> pa.Table:
-        runs, counts = _added(runs, counts)
-        o, cut = _dealt(runs, shards)
-        runs, counts = runs[o], counts[o]
-        return pa.table([pa.array(range(shards), pa.int32()), pa.array([runs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], schema=lows)
+    # What a model needs besides its own runs: all counts of two bytes (shard -1), and those of three bytes in the
+    # contexts that its own contexts end with. Both are sums over buckets, added up by the shard of the last two bytes
+    # of context, where `kind` tells counts (0) from contexts that occur (1), a byte longer.
+    lows = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("runs", pa.binary()), ("counts", pa.binary())])
 
     def to_low(rows: pa.Table) -> pa.Table:
         runs, counts = joined(rows, "runs", U)[0], joined(rows, "counts", np.uint32)[0].astype(np.int64)
-        return by_shard(runs[counts > 0] & U(0xFFFFFF), counts[counts > 0])
+        # Contexts of all runs, as those that only occur in texts to be scored need their ends too.
+        contexts = np.unique((runs >> U(8)) & U(0xFFFFFF))
+        three, times = _added(runs[counts > 0] & U(0xFFFFFF), counts[counts > 0])
+        out = [(-1, 0, *_added(three & U(0xFFFF), times))]
+        for kind, keys, sums, pair in ((0, three, times, three >> U(8)), (1, contexts, np.ones(len(contexts), np.int64), contexts & U(0xFFFF))):
+            o, cut = _dealt(pair, shards)
+            out += [(b, kind, keys[o[i:j]], sums[o[i:j]]) for b, i, j in cut]
+        return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2].tobytes() for r in out], pa.binary()), pa.array([r[3].tobytes() for r in out], pa.binary())], schema=lows)
+
+    # To models; of all models at -1.
+    low_moved = pa.schema([("model", pa.int32()), ("bytes", pa.int32()), ("runs", pa.binary()), ("counts", pa.binary())])
 
     def add_low(key: tuple, rows: pa.Table) -> pa.Table:
-        runs, counts = _added(joined(rows, "runs", U)[0], joined(rows, "counts", np.int64)[0])
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([runs.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], schema=lows)
+        side = lambda k: rows.filter(pc.equal(rows["kind"], k))
+        runs, counts = _added(*(joined(side(0), c, t)[0] for c, t in (("runs", U), ("counts", np.int64))))
+        if key[0].as_py() == -1:
+            return pa.table([pa.array([-1], pa.int32()), pa.array([2], pa.int32()), pa.array([runs.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], schema=low_moved)
+        contexts = np.unique(joined(side(1), "runs", U)[0])
+        model = (mix(contexts) % U(models)).astype(np.int64)
+        # Each pair of context bytes to the models in which it ends a context: at most 256 of them.
+        pair = np.unique((contexts & U(0xFFFF)).astype(np.int64) * models + model)
+        own = (runs >> U(8)).astype(np.int64)
+        order = np.argsort(pair % models, kind="stable")
+        out = []
+        for m, i, j in occurring((pair % models)[order]):
+            pairs = pair[order[i:j]] // models
+            lo, hi = np.searchsorted(own, pairs), np.searchsorted(own, pairs, "right")
+            at = np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)
+            out.append((m, 3, runs[at].tobytes(), counts[at].tobytes()))
+        return pa.table([pa.array([r[k] for r in out], low_moved.types[k]) for k in range(4)], schema=low_moved)
 
     priced = pa.schema([("bucket", pa.int32()), ("model", pa.int32()), ("logs", pa.binary())])
 
@@ -249,11 +273,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         runs, bounds = joined(rows, "runs", U)
         counts = joined(rows, "counts", np.int64)[0]
         own, sums = _added(runs, counts)
-        if low.num_rows:
-            low_runs, low_counts = _added(joined(low, "runs", U)[0], joined(low, "counts", np.int64)[0])
-        else:
-            low_runs, low_counts = np.empty(0, U), np.empty(0, np.int64)
-        logs = partition_model(own, sums, low_runs, low_counts, order).log10(own)[np.searchsorted(own, runs)].astype(np.float32)
+        short = [_added(*(joined(low.filter(pc.equal(low["bytes"], n)), c, t)[0] for c, t in (("runs", U), ("counts", np.int64)))) for n in (2, 3)]
+        logs = partition_model(own, sums, *short[1], order, short[0]).log10(own)[np.searchsorted(own, runs)].astype(np.float32)
         return pa.table([rows["bucket"].combine_chunks(), rows["model"].combine_chunks(), pa.array([logs[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], schema=priced)
 
     answer = pa.schema([("pid", pa.int32()), ("bucket", pa.int32()), ("logs", pa.binary()), ("words", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
@@ -263,9 +284,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if not rows.num_rows:
             return answer.empty_table()
         runs, _, o, cut = bucket_runs(rows)
-        logs = np.zeros(len(runs), np.float32)
+        logs, at = np.zeros(len(runs), np.float32), {m: slice(i, j) for m, i, j in cut}
         for m, blob in zip(told["model"].to_pylist(), told["logs"].to_pylist(), strict=True):
-            logs[o[cut[m] : cut[m + 1]]] = np.frombuffer(blob, np.float32)
+            logs[o[at[m]]] = np.frombuffer(blob, np.float32)
         asked_runs, bounds = joined(rows, "runs", U)
         logs = logs[np.searchsorted(runs, asked_runs)]
         k = len(bounds) - 1
@@ -301,12 +322,13 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         o, cut = _dealt(runs, buckets)
         k1, k2, _ = block_words(block)
         wo, wcut = _dealt(k1, buckets)
-        logs, counts = np.zeros(len(runs)), np.zeros(len(k1), np.int64)
+        logs, counts = np.zeros(len(runs), np.float32), np.zeros(len(k1), np.int64)
+        s, t = ({b: slice(i, j) for b, i, j in found} for found in (cut, wcut))
         for b, x, y in zip(told["bucket"].to_pylist(), told["logs"].to_pylist(), told["words"].to_pylist(), strict=True):
-            if x is not None:
-                logs[o[cut[b] : cut[b + 1]]] = np.frombuffer(x, np.float32)
-            if y is not None:
-                counts[wo[wcut[b] : wcut[b + 1]]] = np.frombuffer(y, np.int64)
+            if x:
+                logs[o[s[b]]] = np.frombuffer(x, np.float32)
+            if y:
+                counts[wo[t[b]]] = np.frombuffer(y, np.int64)
         end = int(counts[np.flatnonzero((k1 == END_KEY[0]) & (k2 == END_KEY[1]))[0]])
         out = []
         for batch in block.to_batches():
@@ -346,9 +368,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     requests = texts.groupBy("pid").applyInArrow(ask, "bucket int, pid int, runs binary, counts binary, k1 binary, k2 binary, words binary")
     by_bucket = requests.groupBy("bucket")
     runs = by_bucket.applyInArrow(to_models, "model int, bucket int, runs binary, counts binary")
-    low = by_bucket.applyInArrow(to_low, "shard int, runs binary, counts binary").groupBy("shard").applyInArrow(add_low, "shard int, runs binary, counts binary")
-    everywhere = low.select(F.explode(F.sequence(F.lit(0), F.lit(models - 1))).alias("model"), "runs", "counts")
-    logs = runs.groupBy("model").cogroup(everywhere.groupBy("model")).applyInArrow(price, "bucket int, model int, logs binary")
+    low = by_bucket.applyInArrow(to_low, "shard int, kind int, runs binary, counts binary").groupBy("shard").applyInArrow(add_low, "model int, bytes int, runs binary, counts binary")
+    of = F.explode(F.when(F.col("model") == -1, F.sequence(F.lit(0), F.lit(models - 1))).otherwise(F.array("model")))
+    needed = low.select(of.alias("model"), "bytes", "runs", "counts")
+    logs = runs.groupBy("model").cogroup(needed.groupBy("model")).applyInArrow(price, "bucket int, model int, logs binary")
     told = requests.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(give_back, answers).unionByName(by_bucket.applyInArrow(give_words, answers))
     scored = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(settle, "doc_id long, train boolean, n_tokens long, n_known long, log_sum double, score double, n_bytes long")
     totals = by_bucket.applyInArrow(total_words, "n long, v long")

@@ -5,14 +5,18 @@ is a copy; the words it covers go. The corpus itself is the reference, indexed i
 
 1. A window's anchor is the smallest hash among its KEY-word runs. Equal windows have equal anchors, and anchors are
    a seventh of all positions, so counting them first leaves out every window whose anchor occurs once.
-2. The windows left are looked up in the reference blocks, which answer with the earliest place of each.
-3. Each document is then factored greedily: a factor runs on as long as window after window copies the next place of
-   the same reference text. At a factor's end the windows that straddle the boundary have answers of their own, so a
-   copy that starts inside one factor and runs past it is found as the next factor. Factors of at least WINDOW words
-   are the duplicate spans.
-
-Window keys have 96 bits. Within a block of documents a repeated window is asked about once, so a passage that a
-third of all documents share costs its bucket one row a block. The texts are shuffled once; all passes read that.
+2. The windows left are looked up in an index dealt by their hash, which answers with the reference block, row and
+   place where each starts first. A place where the answers begin or turn elsewhere is a seed.
+3. Reference blocks, which are the blocks of documents themselves, hand out the words that follow the seeds' places.
+   Each document is then parsed greedily from left to right: a factor starts at a seed and is extended word by word
+   as long as document and reference agree. A seed that lies in the last factor is passed over; one that starts in it
+   but runs past its end is where the boundary is checked, and starts the next factor. Factors of at least WINDOW
+   words are the duplicate spans, and nothing else is removed.
+
+A seed is compared as far as its run of answers and as much again, AHEAD words at least; where the agreement goes on
+beyond that, the next seed takes over. Window keys have 96 bits, compared words 64. Within a block a repeated window is
+asked about once, and so is a place of a reference: a passage that a third of all documents share costs its index part
+and its reference block one row a block. The texts are shuffled once; all passes read that.
 
 Edge cases: null and empty texts, and texts shorter than a window, keep all their words; a null doc_id comes after
 all others (among those: by block, then by text); repeated rows are ordered by text and then equal, and the later
@@ -31,11 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import U, block_count, pieces, shuffle_partitions, table, window_hashes, words_of
+from keystrata.llm.common import U, block_count, occurring, pieces, shuffle_partitions, table, window_hashes, words_of
 
 WINDOW = 20
 KEY = 8
 BLOCK_BYTES = 8 << 20
+AHEAD = 64
 LAST = (1 << 63) - 1
 TOP = np.iinfo(np.uint64).max
 
@@ -107,16 +112,68 @@ def _grouped(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
 
 
-def _cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets of sorted hashes begin."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], U)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
+def _parts(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """The buckets that occur among sorted hashes, with where they begin and end."""
+    return occurring(((sorted_hashes >> U(32)) * U(buckets) >> U(32)).astype(np.int64))
 
 
 def _joined(blobs: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
+class Seeds:
+    """Where factors may start in a block of documents: arrays by seed, in the order of rows and places.
+
+    row, place and run (windows whose answers follow one another) of the document; block, home and at (row and place)
+    of the reference with its doc_id; want, how many words to compare.
+    """
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, ref: dict[str, np.ndarray], window: int) -> None:
+        follows = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1)
+        on = follows & (ref["block"][1:] == ref["block"][:-1]) & (ref["home"][1:] == ref["home"][:-1]) & (ref["at"][1:] == ref["at"][:-1] + 1)
+        fresh = np.flatnonzero(np.concatenate([[True], ~on])) if len(row) else np.empty(0, np.int64)
+        last = np.append(fresh[1:], len(row)) - 1
+        stop = np.append(np.flatnonzero(~follows), len(row) - 1)  # the last window of each stretch of copied ones
+        until = stop[np.searchsorted(stop, fresh)] if len(row) else fresh
+        self.row, self.place, self.run = row[fresh], place[fresh], last[: len(fresh)] - fresh + 1
+        self.block, self.home, self.at, self.doc = (ref[c][fresh] for c in ("block", "home", "at", "doc"))
+        self.want = np.minimum(place[until] - self.place + window, 2 * (self.run + window) + AHEAD)
+
+    def requests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct places to read, by block, row and place, with the most words wanted, and the request of each seed."""
+        order = np.lexsort((self.at, self.home, self.block))
+        b, h, a = self.block[order], self.home[order], self.at[order]
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (h[1:] != h[:-1]) | (a[1:] != a[:-1])]) if len(order) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return b[first], h[first], a[first], np.maximum.reduceat(self.want[order], first) if len(first) else first, of
+
+
+def _stretches(begin: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Indexes of stretches, one after another."""
+    upto = np.cumsum(long)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - upto + long, long)
+
+
+def factored(words: np.ndarray, seeds: list[tuple[int, int, np.ndarray]], window: int) -> list[tuple[int, int, int]]:
+    """The greedy parse of one document: factors (start, words, number of the seed).
+
+    words: its words' hashes; seeds: place, run, and the reference's words from there, in the order of places.
+    """
+    out, end = [], 0
+    for k, (place, run, ref) in enumerate(seeds):
+        if place + run + window - 1 <= end:
+            continue
+        mine = words[place : place + len(ref)]
+        differ = np.flatnonzero(mine != ref[: len(mine)])
+        long = int(differ[0]) if len(differ) else len(mine)
+        if long >= window:
+            out.append((place, long, k))
+            end = max(end, place + long)
+    return out
+
+
 def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, text) to doc_id, n_words, n_removed, kept (the text left) and factors.
 
@@ -140,13 +197,13 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                     most = _sliding(np.concatenate([np.zeros(span - 1, U), m]), span, False)
                     found.append(g[(most == np.maximum(g, U(1))) & (g < TOP)])
         values, times = np.unique(np.maximum(np.concatenate(found), U(1)) if found else np.empty(0, U), return_counts=True)
-        cut = _cuts(values, buckets)
-        rows = [(b, values[i:j].tobytes(), (times[i:j] > 1).astype(np.uint8).tobytes()) for b, i, j in zip(range(buckets), cut[:-1], cut[1:], strict=True) if j > i]
+        rows = [(b, values[i:j].tobytes(), (times[i:j] > 1).astype(np.uint8).tobytes()) for b, i, j in _parts(values, buckets)]
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=asked)
 
-    # `answers` to blocks: anchors that occur more than once (bucket -1), and earliest places of windows.
-    answers = "pid int, bucket int, hashes binary, docs binary, places binary"
-    answer = pa.schema([("pid", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+    # Answers to blocks, by bucket: at -1 anchors that occur more than once (hashes); from 0 on where windows start
+    # first (numbers of those asked about, doc_ids, places, blocks and rows); below -1 words of a reference block.
+    answers = "pid int, bucket int, hashes binary, docs binary, places binary, blocks binary, homes binary"
+    answer = pa.schema([("pid", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "places", "blocks", "homes"))])
 
     def count(rows: pa.Table) -> pa.Table:
         values = [np.frombuffer(v, U) for v in rows["hashes"].to_pylist()]
@@ -155,10 +212,10 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         more = (times + np.bincount(place, weights=often, minlength=len(distinct))) > 1
         told = [v[more[np.searchsorted(distinct, v)]].tobytes() for v in values]
         keep = [i for i, v in enumerate(told) if v]
-        pids = rows["pid"].to_pylist()
-        return pa.table([pa.array([pids[i] for i in keep], pa.int32()), pa.array([-1] * len(keep), pa.int32()), pa.array([told[i] for i in keep], pa.binary()), pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.binary())], schema=answer)
+        pids, none = rows["pid"].to_pylist(), pa.nulls(len(keep), pa.binary())
+        return pa.table([pa.array([pids[i] for i in keep], pa.int32()), pa.array([-1] * len(keep), pa.int32()), pa.array([told[i] for i in keep], pa.binary()), none, none, none, none], schema=answer)
 
-    sent = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("k1", pa.binary()), ("k2", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+    sent = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), *((c, pa.binary()) for c in ("k1", "k2", "docs", "places", "homes"))])
 
     def known_anchors(told: pa.Table) -> np.ndarray:
         return np.sort(_joined([v for b, v in zip(told["bucket"].to_pylist(), told["hashes"].to_pylist(), strict=True) if b == -1], U))
@@ -172,17 +229,16 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         order, first = _grouped(k1, k2)
         one = order[first]
         docs = np.asarray(block["key"])[rows[one]]
-        parts = (k1[one], k2[one], docs, places[one].astype(np.uint32))
-        cut = _cuts(parts[0], buckets)
-        out = [(b, i, j) for b, i, j in zip(range(buckets), cut[:-1], cut[1:], strict=True) if j > i]
+        parts = (k1[one], k2[one], docs, places[one].astype(np.uint32), rows[one].astype(np.uint32))
+        out = _parts(parts[0], buckets)
         return pa.table([pa.array([b for b, _, _ in out], pa.int32()), pa.array([pid] * len(out), pa.int32()), *(pa.array([x[i:j].tobytes() for _, i, j in out], pa.binary()) for x in parts)], schema=sent)
 
     def earliest(rows: pa.Table) -> pa.Table:
-        blobs = {c: rows[c].to_pylist() for c in ("k1", "k2", "docs", "places", "pid")}
+        blobs = {c: rows[c].to_pylist() for c in ("k1", "k2", "docs", "places", "homes", "pid")}
         long = np.array([len(b) // 8 for b in blobs["k1"]])
-        k1, k2, docs, places = (_joined(blobs[c], t) for c, t in (("k1", U), ("k2", np.uint32), ("docs", np.int64), ("places", np.uint32)))
+        k1, k2, docs, places, homes = (_joined(blobs[c], t) for c, t in (("k1", U), ("k2", np.uint32), ("docs", np.int64), ("places", np.uint32), ("homes", np.uint32)))
         pid = np.repeat(np.array(blobs["pid"], np.int32), long)
-        order = np.lexsort((places, pid, docs, k2, k1))
+        order = np.lexsort((places, homes, pid, docs, k2, k1))
         a, b = k1[order], k2[order]
         first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
@@ -195,8 +251,59 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             own = np.arange(lo, hi)
             copy = own[source[lo:hi] != own]
             if len(copy):
-                out.append((p, bucket, (copy - lo).astype(np.uint32).tobytes(), docs[source[copy]].tobytes(), places[source[copy]].tobytes()))
-        return pa.table([pa.array([r[k] for r in out], answer.types[k]) for k in range(5)], schema=answer)
+                out.append((p, bucket, (copy - lo).astype(np.uint32).tobytes(), *(x[source[copy]].tobytes() for x in (docs, places, pid, homes))))
+        return pa.table([pa.array([r[k] for r in out], answer.types[k]) for k in range(7)], schema=answer)
+
+    def seeds_of(pid: int, block: pa.Table, told: pa.Table) -> Seeds:
+        """Seeds of a block in order; the same in the pass that asks for words and in the one that parses."""
+        k1, k2, rows, places = _windows(block, known_anchors(told), window)
+        order, first = _grouped(k1, k2)
+        one = order[first]
+        ref = {"block": np.full(len(one), pid, np.int64), "home": rows[one].copy(), "at": places[one].copy(), "doc": np.asarray(block["key"])[rows[one]].copy()}
+        copied = np.zeros(len(one), bool)
+        begin = {b: i for b, i, _ in _parts(k1[one], buckets)}
+        for b, at, *found in zip(*(told[c].to_pylist() for c in ("bucket", "hashes", "blocks", "homes", "places", "docs")), strict=True):
+            if b >= 0:
+                index = begin[b] + np.frombuffer(at, np.uint32)
+                copied[index] = True
+                for c, blob, kind in zip(ref, found, (np.int32, np.uint32, np.uint32, np.int64), strict=True):
+                    ref[c][index] = np.frombuffer(blob, kind)
+        which, copy = np.empty(len(order), np.int64), np.ones(len(order), bool)
+        which[order] = np.repeat(np.arange(len(one)), np.diff(np.append(first, len(order))))
+        copy[one] = copied
+        return Seeds(rows[copy], places[copy], {c: x[which[copy]] for c, x in ref.items()}, window)
+
+    wanted = pa.schema([("pid", pa.int32()), ("asker", pa.int32()), ("homes", pa.binary()), ("places", pa.binary()), ("wants", pa.binary())])
+
+    def want(block: pa.Table, told: pa.Table) -> pa.Table:
+        if not block.num_rows or not told.num_rows:
+            return wanted.empty_table()
+        pid = block["pid"][0].as_py()
+        at, homes, places, wants, _ = seeds_of(pid, _in_order(block), told).requests()
+        out = occurring(at)
+        return pa.table([pa.array([b for b, _, _ in out], pa.int32()), pa.array([pid] * len(out), pa.int32()), *(pa.array([x[i:j].astype(np.uint32).tobytes() for _, i, j in out], pa.binary()) for x in (homes, places, wants))], schema=wanted)
+
+    def hand_out(block: pa.Table, asked: pa.Table) -> pa.Table:
+        """The words of a reference block that others, or it itself, want; fewer where a text ends."""
+        if not asked.num_rows:
+            return answer.empty_table()
+        homes, places, wants = (_joined(asked[c].to_pylist(), np.uint32).astype(np.int64) for c in ("homes", "places", "wants"))
+        rows, home = np.unique(homes, return_inverse=True)
+        h, counts = [], [np.zeros(1, np.int64)]
+        for batch in _in_order(block).select(["text"]).take(pa.array(rows)).to_batches():
+            for part in pieces(batch, "text"):
+                w = words_of(part["text"])
+                h.append(w.hashes[0])
+                counts.append(np.diff(w.bounds))
+        h, bounds = np.concatenate(h), np.cumsum(np.concatenate(counts))
+        begin = bounds[home] + places
+        wants = np.minimum(wants, bounds[home + 1] - begin)
+        words, upto = h[_stretches(begin, wants)], np.concatenate([[0], np.cumsum(wants)])
+        cut = np.cumsum([0, *(len(b) >> 2 for b in asked["homes"].to_pylist())])
+        out = [words[upto[i] : upto[j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        longs = [wants[i:j].astype(np.uint32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        none = pa.nulls(asked.num_rows, pa.binary())
+        return pa.table([asked["asker"].combine_chunks(), pa.array([-2 - p for p in asked["pid"].to_pylist()], pa.int32()), pa.array(out, pa.binary()), none, pa.array(longs, pa.binary()), none, none], schema=answer)
 
     factor = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())]))
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", factor)])
@@ -204,55 +311,43 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut_out(block: pa.Table, told: pa.Table) -> pa.Table:
         if not block.num_rows:
             return result.empty_table()
-        block = _in_order(block)
-        k1, k2, rows, places = _windows(block, known_anchors(told), window)
-        order, first = _grouped(k1, k2)
-        keys = np.asarray(block["key"])
-        one = order[first]
-        ref_doc, ref_place, copied = keys[rows[one]].copy(), places[one].copy(), np.zeros(len(one), bool)
-        cut = _cuts(k1[one], buckets)
-        for b, at, docs, where in zip(*(told[c].to_pylist() for c in ("bucket", "hashes", "docs", "places")), strict=True):
-            if b >= 0:
-                index = cut[b] + np.frombuffer(at, np.uint32)
-                ref_doc[index], ref_place[index], copied[index] = np.frombuffer(docs, np.int64), np.frombuffer(where, np.uint32), True
-        group = np.repeat(np.arange(len(one)), np.diff(np.append(first, len(order))))
-        copy = np.zeros(len(order), bool)
-        doc, place = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        copy[order] = True
-        copy[one] = copied
-        doc[order], place[order] = ref_doc[group], ref_place[group]
-        rows, places, doc, place = rows[copy], places[copy], doc[copy], place[copy]
-        cuts = np.searchsorted(rows, np.arange(block.num_rows + 1))
-        out = []
-        for i, (d, text) in enumerate(zip(block["doc_id"].to_pylist(), block["text"].to_pylist(), strict=True)):
-            words = text.split()
-            lo, hi = cuts[i], cuts[i + 1]
-            factors, removed = [], 0
-            if hi > lo:
-                p, rd, rp = places[lo:hi], doc[lo:hi], place[lo:hi]
-                fresh = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] != rp[:-1] + 1)]))
-                last = np.append(fresh[1:], len(p)) - 1
-                gone = np.zeros(len(words) + 1, np.int64)
-                for f, e in zip(fresh.tolist(), last.tolist(), strict=True):
-                    factors.append((int(p[f]), int(p[e] - p[f]) + window, None if rd[f] == LAST else int(rd[f]), int(rp[f])))
-                    gone[p[f]] += 1
-                    gone[p[e] + window] -= 1
-                stay = np.cumsum(gone[:-1]) == 0
-                removed = int(len(words) - stay.sum())
-                words_left = compress(words, stay.tolist())
-            else:
-                words_left = words
-            out.append((d, len(words), removed, b" ".join(words_left).decode("utf-8", "replace"), factors))
-        columns = list(zip(*out, strict=True))
-        named = [[dict(zip(("start", "words", "ref_doc", "ref_start"), f, strict=True)) for f in fs] for fs in columns[4]]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(named, factor)], schema=result)
+        pid, block = block["pid"][0].as_py(), _in_order(block)
+        seeds = seeds_of(pid, block, told)
+        at, _, _, _, request = seeds.requests()
+        # Words that reference blocks have handed out, in the order of requests.
+        handed = {-2 - b: (x, n) for b, x, n in zip(told["bucket"].to_pylist(), told["hashes"].to_pylist(), told["places"].to_pylist(), strict=True) if b < -1}
+        refs: list[np.ndarray] = []
+        for b, _, _ in occurring(at):
+            words, longs = handed[b]
+            refs += np.split(np.frombuffer(words, U), np.cumsum(np.frombuffer(longs, np.uint32))[:-1])
+        cuts = np.searchsorted(seeds.row, np.arange(block.num_rows + 1))
+        out, i = [], 0
+        for batch in block.to_batches():
+            for part in pieces(batch, "text"):
+                w = words_of(part["text"])
+                for k, (d, text) in enumerate(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)):
+                    words, lo, hi = text.split(), cuts[i], cuts[i + 1]
+                    own = [(p, r, refs[q]) for p, r, q in zip(seeds.place[lo:hi].tolist(), seeds.run[lo:hi].tolist(), request[lo:hi].tolist(), strict=True)]
+                    factors = factored(w.hashes[0][w.bounds[k] : w.bounds[k + 1]], own, window)
+                    kept = words
+                    if factors:
+                        gone = np.zeros(len(words) + 1, np.int64)
+                        for p, n, _ in factors:
+                            gone[p] += 1
+                            gone[p + n] -= 1
+                        kept = list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
+                    named = [{"start": p, "words": n, "ref_doc": None if seeds.doc[lo + s] == LAST else int(seeds.doc[lo + s]), "ref_start": int(seeds.at[lo + s])} for p, n, s in factors]
+                    out.append((d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace"), named))
+                    i += 1
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), result.types, strict=True)], schema=result)
 
     anchors = texts.groupBy("pid").applyInArrow(ask, "bucket int, pid int, hashes binary, often binary")
     known = anchors.groupBy("bucket").applyInArrow(count, answers)
-    windows = texts.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(look_up, "bucket int, pid int, k1 binary, k2 binary, docs binary, places binary")
-    places = windows.groupBy("bucket").applyInArrow(earliest, answers)
-    told = known.unionByName(places)
-    return texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(
+    windows = texts.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(look_up, "bucket int, pid int, k1 binary, k2 binary, docs binary, places binary, homes binary")
+    told = known.unionByName(windows.groupBy("bucket").applyInArrow(earliest, answers))
+    requests = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(want, "pid int, asker int, homes binary, places binary, wants binary")
+    words = texts.groupBy("pid").cogroup(requests.groupBy("pid")).applyInArrow(hand_out, answers)
+    return texts.groupBy("pid").cogroup(told.unionByName(words).groupBy("pid")).applyInArrow(
         cut_out, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:long,words:long,ref_doc:long,ref_start:long>>"
     )
 

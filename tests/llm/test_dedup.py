@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -241,3 +242,51 @@ def test_a_chain_sends_rows_in_proportion(spark, monkeypatch):
         sent[n] = units.agg(F.sum("parts")).first()[0]
         assert units.agg(F.max("parts")).first()[0] == 1
     assert sent[800] < 4.2 * sent[200]
+
+
+def test_factors_run_as_far_as_the_reference_agrees(documents, monkeypatch):
+    """A factor ends where the next words differ, a text ends, or the next factor takes over; short agreements are none."""
+    frame, rows = documents
+    monkeypatch.setattr(rlz, "BLOCK_BYTES", 15_000)
+    text = {r[0]: words(r[1]) for r in rows}
+    ended = 0
+    for r in rlz.parse(frame).collect():
+        for f, after in itertools.zip_longest(r.factors, r.factors[1:]):
+            mine, ref = text[r.doc_id][f.start + f.words :], text[f.ref_doc][f.ref_start + f.words :]
+            ended += bool(mine and ref)
+            assert not mine or not ref or mine[0] != ref[0] or (after and after.start < f.start + f.words < after.start + after.words)
+    assert ended > 5
+
+
+def test_the_greedy_parse_at_boundaries():
+    w = np.arange(100, dtype=np.uint64)
+    ref = lambda a, n: np.concatenate([w[a : a + n], [np.uint64(999)]])
+    # One after another, one inside the first, one that straddles its end, and one whose words don't agree.
+    assert rlz.factored(w, [(0, 11, ref(0, 30)), (5, 2, ref(5, 21)), (15, 3, ref(15, 40)), (60, 1, ref(61, 20))], 20) == [(0, 30, 0), (15, 40, 2)]
+    assert rlz.factored(w, [(0, 1, ref(0, 19))], 20) == []
+    assert rlz.factored(w[:25], [(2, 4, ref(2, 60))], 20) == [(2, 23, 0)]
+
+
+def test_a_text_that_repeats_itself(spark):
+    """Every window of a long run of one word copies the first: the parse stays linear."""
+    rows = [(1, "a " * 60_000), (2, "b " + "a b " * 3000)]
+    frame = spark.createDataFrame([(d, t, *[None] * 7) for d, t in rows], DDL)
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in rlz.parse(frame).collect()}
+    assert got == substrings(rows)
+
+
+def test_work_on_a_block_does_not_follow_the_number_of_parts():
+    """A million parts: those that occur in a block are all that is looked at."""
+    import time
+
+    from keystrata.llm import common, ppm
+
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64) * np.uint64(2))
+    for parts in (16, 10**6, 10**9):
+        began = time.process_time()
+        cuts = rlz._parts(h, parts)
+        _, dealt = ppm._dealt(h, parts)
+        assert time.process_time() - began < 1.0
+        for found in (cuts, dealt):
+            assert sum(j - i for _, i, j in found) == len(h) and len(found) <= min(parts, len(h)) and found[-1][2] == len(h)
+    assert common.occurring(np.array([2, 2, 7])) == [(2, 0, 2), (7, 2, 3)] and common.occurring(np.empty(0)) == []
