@@ -156,3 +156,53 @@ def test_redaction(spark):
 def test_plan_is_native(spark):
     frame = pii.detect(spark.createDataFrame([(1, "x")], "doc_id int, text string"))
     assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def test_secrets(spark):
+    value = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    texts = [f'x token = "{value}" y', f"API_KEY: {value.upper()},", "password = aaaaaaaaaaaaaaaa1", "token = ABCDEFGHIJKLMNOPQRST", f"dummy token={value}", f"é secret:'{value}' secret:{value}", f"broken {value}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.pii] for r in pii.detect(frame).collect()}
+    assert rows == {0: [("secret", value)], 1: [("secret", value.upper())], 2: [], 3: [], 4: [], 5: [("secret", value)] * 2, 6: []}
+
+
+def test_iban_and_context_in_the_query(spark, tmp_path):
+    """Planted rows that reach mod-97 and the score of the context, through the registered query."""
+    texts = ["pay to iban GB82 WEST 1234 5698 7654 32 please", "code GB82WEST12345698765433", "ssn 123-45-6789", "part 123-45-6789"]
+    spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.spans for r in pii.op7_pii(spark, str(tmp_path)).collect()}
+    assert rows == {0: "iban:12:39", 1: "", 2: "ssn:4:15", 3: "", 9: ""}
+
+
+def test_many_matches_take_linear_time(spark):
+    """Texts of 20,000 and 80,000 numbers, and of as many addresses, found and redacted."""
+    import time
+
+    took = {}
+    for n in (20_000, 80_000):
+        for kind, word in (("numbers", "4111 x "), ("addresses", "a@b.co, ")):
+            frame = spark.createDataFrame([(1, word * n)], "doc_id int, text string")
+            began = time.time()
+            row = pii.redact(pii.detect(frame)).first()
+            took[kind, n] = time.time() - began
+            assert len(row.pii) == (n if kind == "addresses" else 0)
+            assert kind == "numbers" or row.text == "<EMAIL>, " * n
+            assert [s.start for s in row.pii[:3]] == ([0, 8, 16] if row.pii else [])
+    for kind in ("numbers", "addresses"):
+        assert took[kind, 80_000] < 8 * took[kind, 20_000] + 2 and took[kind, 80_000] < 20
+
+
+def test_redaction_of_overlaps_and_stretches(spark, monkeypatch):
+    texts = [t for t in random_texts(120) if t]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.pii] for r in pii.detect(frame).collect()}
+    for stretch in (256, 2):
+        monkeypatch.setattr(pii, "STRETCH", stretch)
+        got = {r.doc_id: r.text for r in pii.redact(pii.detect(frame)).collect()}
+        for i, t in enumerate(texts):
+            at, out = 0, ""
+            for start, end, kind in spans[i]:
+                if start >= at:
+                    out += t[at:start] + f"<{kind.upper()}>"
+                at = max(at, end)
+            assert got[i] == out + t[at:]
