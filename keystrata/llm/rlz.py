@@ -121,6 +121,9 @@ def _joined(blobs: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
+SEED = np.dtype([("row", np.uint32), ("place", np.uint32), ("run", np.uint32), ("block", np.int32), ("request", np.uint32), ("at", np.uint32), ("doc", np.int64)])
+
+
 class Seeds:
     """Where factors may start in a block of documents: arrays by seed, in the order of rows and places.
 
@@ -139,6 +142,13 @@ class Seeds:
         self.block, self.home, self.at, self.doc = (ref[c][fresh] for c in ("block", "home", "at", "doc"))
         self.want = np.minimum(place[until] - self.place + window, 2 * (self.run + window) + AHEAD)
 
+    def packed(self, request: np.ndarray) -> bytes:
+        """What the parse needs of them; request: the number of each seed's request among those to its block."""
+        out = np.zeros(len(self.row), SEED)
+        for c, x in (("row", self.row), ("place", self.place), ("run", self.run), ("block", self.block), ("request", request), ("at", self.at), ("doc", self.doc)):
+            out[c] = x
+        return out.tobytes()
+
     def requests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct places to read, by block, row and place, with the most words wanted, and the request of each seed."""
         order = np.lexsort((self.at, self.home, self.block))
@@ -201,7 +211,7 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=asked)
 
     # Answers to blocks, by bucket: at -1 anchors that occur more than once (hashes); from 0 on where windows start
-    # first (numbers of those asked about, doc_ids, places, blocks and rows); below -1 words of a reference block.
+    # first (numbers of those asked about, doc_ids, places, blocks and rows).
     answers = "pid int, bucket int, hashes binary, docs binary, places binary, blocks binary, homes binary"
     answer = pa.schema([("pid", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "places", "blocks", "homes"))])
 
@@ -255,7 +265,7 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.table([pa.array([r[k] for r in out], answer.types[k]) for k in range(7)], schema=answer)
 
     def seeds_of(pid: int, block: pa.Table, told: pa.Table) -> Seeds:
-        """Seeds of a block in order; the same in the pass that asks for words and in the one that parses."""
+        """Seeds of a block, in order."""
         k1, k2, rows, places = _windows(block, known_anchors(told), window)
         order, first = _grouped(k1, k2)
         one = order[first]
@@ -273,20 +283,33 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         copy[one] = copied
         return Seeds(rows[copy], places[copy], {c: x[which[copy]] for c, x in ref.items()}, window)
 
-    wanted = pa.schema([("pid", pa.int32()), ("asker", pa.int32()), ("homes", pa.binary()), ("places", pa.binary()), ("wants", pa.binary())])
+    # To reference blocks what others want of them; to a block itself (asker -1) its seeds.
+    wanted = pa.schema([("pid", pa.int32()), ("asker", pa.int32()), *((c, pa.binary()) for c in ("homes", "places", "wants", "seeds"))])
 
     def want(block: pa.Table, told: pa.Table) -> pa.Table:
         if not block.num_rows or not told.num_rows:
             return wanted.empty_table()
         pid = block["pid"][0].as_py()
-        at, homes, places, wants, _ = seeds_of(pid, _in_order(block), told).requests()
+        seeds = seeds_of(pid, _in_order(block), told)
+        if not len(seeds.row):
+            return wanted.empty_table()
+        at, homes, places, wants, request = seeds.requests()
         out = occurring(at)
-        return pa.table([pa.array([b for b, _, _ in out], pa.int32()), pa.array([pid] * len(out), pa.int32()), *(pa.array([x[i:j].astype(np.uint32).tobytes() for _, i, j in out], pa.binary()) for x in (homes, places, wants))], schema=wanted)
+        rows = [(b, pid, *(x[i:j].astype(np.uint32).tobytes() for x in (homes, places, wants)), None) for b, i, j in out]
+        begin = np.repeat([i for _, i, _ in out], [j - i for _, i, j in out])
+        rows.append((pid, -1, None, None, None, seeds.packed(request - begin[request])))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), wanted.types, strict=True)], schema=wanted)
+
+    # To blocks: their seeds (block -1), and the words that a reference block hands out.
+    handed = pa.schema([("pid", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("words", "longs", "seeds"))])
 
     def hand_out(block: pa.Table, asked: pa.Table) -> pa.Table:
-        """The words of a reference block that others, or it itself, want; fewer where a text ends."""
+        """The words of a reference block that others, or it itself, want; fewer where a text ends. Seeds pass by."""
+        own, asked = asked.filter(pc.equal(asked["asker"], -1)), asked.filter(pc.greater(asked["asker"], -1))
+        none = pa.nulls(own.num_rows, pa.binary())
+        kept = pa.table([own["pid"], own["asker"], none, none, own["seeds"]], schema=handed)
         if not asked.num_rows:
-            return answer.empty_table()
+            return kept
         homes, places, wants = (_joined(asked[c].to_pylist(), np.uint32).astype(np.int64) for c in ("homes", "places", "wants"))
         rows, home = np.unique(homes, return_inverse=True)
         h, counts = [], [np.zeros(1, np.int64)]
@@ -302,8 +325,8 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         cut = np.cumsum([0, *(len(b) >> 2 for b in asked["homes"].to_pylist())])
         out = [words[upto[i] : upto[j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
         longs = [wants[i:j].astype(np.uint32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        none = pa.nulls(asked.num_rows, pa.binary())
-        return pa.table([asked["asker"].combine_chunks(), pa.array([-2 - p for p in asked["pid"].to_pylist()], pa.int32()), pa.array(out, pa.binary()), none, pa.array(longs, pa.binary()), none, none], schema=answer)
+        found = pa.table([asked["asker"], asked["pid"], pa.array(out, pa.binary()), pa.array(longs, pa.binary()), pa.nulls(asked.num_rows, pa.binary())], schema=handed)
+        return pa.concat_tables([kept, found])
 
     factor = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())]))
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", factor)])
@@ -311,23 +334,18 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut_out(block: pa.Table, told: pa.Table) -> pa.Table:
         if not block.num_rows:
             return result.empty_table()
-        pid, block = block["pid"][0].as_py(), _in_order(block)
-        seeds = seeds_of(pid, block, told)
-        at, _, _, _, request = seeds.requests()
-        # Words that reference blocks have handed out, in the order of requests.
-        handed = {-2 - b: (x, n) for b, x, n in zip(told["bucket"].to_pylist(), told["hashes"].to_pylist(), told["places"].to_pylist(), strict=True) if b < -1}
-        refs: list[np.ndarray] = []
-        for b, _, _ in occurring(at):
-            words, longs = handed[b]
-            refs += np.split(np.frombuffer(words, U), np.cumsum(np.frombuffer(longs, np.uint32))[:-1])
-        cuts = np.searchsorted(seeds.row, np.arange(block.num_rows + 1))
+        block = _in_order(block)
+        seeds = np.frombuffer(b"".join([x for x in told["seeds"].to_pylist() if x]), SEED)
+        refs = {b: np.split(np.frombuffer(x, U), np.cumsum(np.frombuffer(n, np.uint32))[:-1]) for b, x, n in zip(told["block"].to_pylist(), told["words"].to_pylist(), told["longs"].to_pylist(), strict=True) if b >= 0}
+        cuts = np.searchsorted(seeds["row"], np.arange(block.num_rows + 1))
         out, i = [], 0
         for batch in block.to_batches():
             for part in pieces(batch, "text"):
                 w = words_of(part["text"])
                 for k, (d, text) in enumerate(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)):
                     words, lo, hi = text.split(), cuts[i], cuts[i + 1]
-                    own = [(p, r, refs[q]) for p, r, q in zip(seeds.place[lo:hi].tolist(), seeds.run[lo:hi].tolist(), request[lo:hi].tolist(), strict=True)]
+                    mine = seeds[lo:hi]
+                    own = [(p, r, refs[b][q]) for p, r, b, q in zip(*(mine[c].tolist() for c in ("place", "run", "block", "request")), strict=True)]
                     factors = factored(w.hashes[0][w.bounds[k] : w.bounds[k + 1]], own, window)
                     kept = words
                     if factors:
@@ -336,7 +354,7 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                             gone[p] += 1
                             gone[p + n] -= 1
                         kept = list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
-                    named = [{"start": p, "words": n, "ref_doc": None if seeds.doc[lo + s] == LAST else int(seeds.doc[lo + s]), "ref_start": int(seeds.at[lo + s])} for p, n, s in factors]
+                    named = [{"start": p, "words": n, "ref_doc": None if mine["doc"][s] == LAST else int(mine["doc"][s]), "ref_start": int(mine["at"][s])} for p, n, s in factors]
                     out.append((d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace"), named))
                     i += 1
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), result.types, strict=True)], schema=result)
@@ -345,9 +363,9 @@ def parse(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     known = anchors.groupBy("bucket").applyInArrow(count, answers)
     windows = texts.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(look_up, "bucket int, pid int, k1 binary, k2 binary, docs binary, places binary, homes binary")
     told = known.unionByName(windows.groupBy("bucket").applyInArrow(earliest, answers))
-    requests = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(want, "pid int, asker int, homes binary, places binary, wants binary")
-    words = texts.groupBy("pid").cogroup(requests.groupBy("pid")).applyInArrow(hand_out, answers)
-    return texts.groupBy("pid").cogroup(told.unionByName(words).groupBy("pid")).applyInArrow(
+    requests = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(want, "pid int, asker int, homes binary, places binary, wants binary, seeds binary")
+    words = texts.groupBy("pid").cogroup(requests.groupBy("pid")).applyInArrow(hand_out, "pid int, block int, words binary, longs binary, seeds binary")
+    return texts.groupBy("pid").cogroup(words.groupBy("pid")).applyInArrow(
         cut_out, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:long,words:long,ref_doc:long,ref_start:long>>"
     )
 
