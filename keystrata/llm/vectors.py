@@ -7,6 +7,9 @@ united across passes. Windows bound a pass, not the result: the distinct vectors
 in pairs of blocks of about LIMIT, which counts every link and unites groups that no pass has brought together. So
 no link is missed, however crowded a label is; the settling is quadratic in the distinct vectors of a label.
 
+Passes run one after another and write the pairs that connect their groups, so the disks hold the shuffle of one pass
+at a time; vectors travel in the width that they came in (a float is the same number as a double).
+
 Equal vectors of a label become one representative with a number of copies first. Edge cases: a vector that is null,
 zero or has null or non-finite parts links with nothing, as does one of null label or null vec_id; vectors of
 different lengths do not link; repeated rows are copies; an empty table gives no rows.
@@ -18,63 +21,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keystrata.llm.common import join_apart, shared_folder, table, written
+from keystrata.llm.common import join_apart, release, shared_folder, table, written
 from keystrata.llm.graph import components
 
 COSINE = 0.98
 PASSES = 12
 PLANES = 24
 WINDOW = 24
-LIMIT = 2048
+LIMIT = 4096
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, vector as bytes of doubles (null where it can't link) of each row."""
+    """vec_id, label, vector as bytes of its numbers (null where it can't link) and dim of each row."""
+    element = vectors.schema["embedding"].dataType.elementType
+    kind = np.float32 if isinstance(element, T.FloatType) else np.float64
+    wide = pa.float32() if kind is np.float32 else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch["embedding"].to_pylist():
-                x = None if v is None or not v or any(e is None for e in v) else np.array(v, np.float64)
-                # Zero plus zero: a negative zero is a zero.
-                out.append((x + 0.0).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array(out, pa.binary())], ["vec_id", "label", "vector"])
-
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    return rows.mapInArrow(run, "vec_id long, label long, vector binary")
-
-
-def _unit(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+            rows = batch["embedding"]
+            long = np.asarray(pc.fill_null(pc.list_value_length(rows), 0)).astype(np.int64)
+            flat = pc.list_flatten(rows)
+            # Zero plus zero: a negative zero is a zero.
+            x = np.asarray(pc.fill_null(flat, np.nan).cast(wide)).astype(kind) + kind(0)
+            upto = np.concatenate([[0], np.cumsum(long)])
+            sums = lambda y: np.diff(np.concatenate([[0], np.cumsum(y)])[upto])
+            good = (long > 0) & (sums(~np.isfinite(x)) == 0) & (sums(x != 0) > 0)
+            size = np.dtype(kind).itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(long), [None, pa.py_buffer((upto * size).astype(np.int32)), pa.py_buffer(x.tobytes())])
+            vector = pc.if_else(pa.array(good), blobs, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], vector, pa.array(long.astype(np.int32))], ["vec_id", "label", "vector", "dim"])
+
+    embedding = F.col("embedding") if kind is np.float32 else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), embedding.alias("embedding"))
+    return rows.mapInArrow(run, "vec_id long, label long, vector binary, dim int")
+
+
+def _unit(blobs: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of length one in doubles, from bytes of floats or doubles."""
+    data = b"".join(blobs)
+    x = np.frombuffer(data, np.float32 if len(data) == 4 * dim * len(blobs) else np.float64).astype(np.float64).reshape(len(blobs), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keys(reps: DataFrame, passes: int, planes: int) -> DataFrame:
-    """A row for each pass: pass, label, dim, key and the vector."""
+def _keys(reps: DataFrame, number: int, planes: int) -> DataFrame:
+    """The vectors with their key in pass `number`, whose planes depend on it and the dimension alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
-                blobs = batch["vector"].to_pylist()
-                long = np.array([len(b) for b in blobs])
-                for size in np.unique(long).tolist():
-                    at = np.flatnonzero(long == size)
-                    if size not in drawn:
-                        drawn[size] = np.random.default_rng(size).standard_normal((size // 8, passes * planes))
-                    side = _unit([blobs[k] for k in at]) @ drawn[size] > 0
-                    part = batch.take(pa.array(at))
-                    for p in range(passes):
-                        code = side[:, p * planes : (p + 1) * planes] @ (1 << np.arange(planes - 1, -1, -1, dtype=np.int64))
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), part["label"], pa.array(np.full(n, size // 8, np.int32)), pa.array(code), part["vec_id"], part["vector"]], ["pass", "label", "dim", "key", "vec_id", "vector"])
-
-    return reps.select("vec_id", "label", "vector").mapInArrow(run, "pass int, label long, dim int, key long, vec_id long, vector binary")
+                dims = np.asarray(batch["dim"])
+                for dim in np.unique(dims).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    if dim not in drawn:
+                        drawn[dim] = np.random.default_rng((dim, number)).standard_normal((dim, planes))
+                    side = _unit(part["vector"].to_pylist(), dim) @ drawn[dim] > 0
+                    code = side @ (1 << np.arange(planes - 1, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([part["label"], part["dim"], pa.array(code), part["vec_id"], part["vector"]], ["label", "dim", "key", "vec_id", "vector"])
+
+    return reps.select("vec_id", "label", "dim", "vector").mapInArrow(run, "label long, dim int, key long, vec_id long, vector binary")
 
 
 def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
@@ -85,7 +98,7 @@ def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 4000):
                 batch = whole.slice(i, 4000)
-                group = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("pass", "label", "dim")], 1)
+                group = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("label", "dim")], 1)
                 ids, blobs = np.asarray(batch["vec_id"]), np.array(batch["vector"].to_pylist(), object)
                 fresh = np.zeros(len(ids), bool)
                 if kept is not None:
@@ -94,7 +107,7 @@ def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
                 edges = []
                 cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1), [True]]))
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    x = _unit(blobs[lo:hi].tolist())
+                    x = _unit(blobs[lo:hi].tolist(), int(group[lo, 1]))
                     for step in range(1, min(window, hi - lo - 1) + 1):
                         a = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine)
                         a = a[~fresh[lo + a + step]]
@@ -104,7 +117,7 @@ def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    ordered = keyed.repartitionByRange("pass", "label", "dim", "key", "vec_id").sortWithinPartitions("pass", "label", "dim", "key", "vec_id")
+    ordered = keyed.repartitionByRange("label", "dim", "key", "vec_id").sortWithinPartitions("label", "dim", "key", "vec_id")
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -138,7 +151,7 @@ def _settled(tasks: DataFrame, cosine: float) -> DataFrame:
             if not rows:
                 return
             ids, component, copies, block = (np.array([r[k] for r in rows]) for k in range(4))
-            x = _unit([r[4] for r in rows])
+            x = _unit([r[4] for r in rows], key[1])
             left = np.ones(len(rows), bool) if key[2] == key[3] else block == key[2]
             right = left if key[2] == key[3] else ~left
             links, apart = np.zeros(len(rows), np.int64), []
@@ -178,16 +191,19 @@ def _settled(tasks: DataFrame, cosine: float) -> DataFrame:
 
 def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, planes: int = PLANES, window: int = WINDOW) -> DataFrame:
     """Rows (vec_id, embedding, label) to vec_id, n_links, component_id, kept."""
-    folder = shared_folder(vectors.sparkSession)
+    spark = vectors.sparkSession
+    folder = shared_folder(spark)
     rows = written(_clean(vectors), folder, "rows")
     able = rows.where("vector IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
-    rep = able.groupBy("label", "vector").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("copies"))
-    reps = rep.select(F.col("rep_id").alias("vec_id"), "label", "vector", "copies")
-    edges = written(_neighbours(_keys(reps, passes, planes), window, cosine), folder, "edges")
+    rep = able.groupBy("label", "vector").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("copies"), F.min("dim").alias("dim"))
+    reps = written(rep.select(F.col("rep_id").alias("vec_id"), "label", "vector", "dim", "copies"), folder, "reps")
+    for number in range(passes):
+        written(_neighbours(_keys(reps, number, planes), window, cosine), folder, f"edges/pass={number}")
+        release(spark)
+    edges = spark.read.schema("u long, v long").parquet(f"{folder}/edges").select("u", "v").distinct()
     found = components(edges, folder, "vectors").withColumnRenamed("node", "vec_id")
-    sized = reps.withColumn("dim", (F.octet_length("vector") / 8).cast("int"))
-    count = sized.groupBy("label", "dim").agg(F.count("*").alias("members"))
-    inside = join_apart(sized, count, "label", "dim").join(found, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    count = reps.groupBy("label", "dim").agg(F.count("*").alias("members"))
+    inside = join_apart(reps, count, "label", "dim").join(found, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
     inside = inside.withColumn("parts", F.ceil(F.col("members") / LIMIT).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     tasks = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "label", "dim", "vec_id", "component", "copies", "block", "vector", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
@@ -200,7 +216,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, plane
         united = components(edges.unionByName(apart), folder, "united")
         group = united.withColumnRenamed("node", "rep_id")
     known = group.join(links, "rep_id", "left")
-    members = rep.join(known, "rep_id", "left").select("label", "vector", F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    members = reps.withColumnRenamed("vec_id", "rep_id").join(known, "rep_id", "left").select("label", "vector", F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     links = F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)
     return join_apart(rows, members, "label", "vector", how="left").select(
