@@ -206,3 +206,66 @@ def test_redaction_of_overlaps_and_stretches(spark, monkeypatch):
                     out += t[at:start] + f"<{kind.upper()}>"
                 at = max(at, end)
             assert got[i] == out + t[at:]
+
+
+def brute(docs, items):
+    """Every alignment of every document with every item, compared place by place."""
+    number = {}
+    ids = lambda words: np.array([number.setdefault(w, len(number)) for w in words])
+    items = {i: ids(w) for i, w in items.items()}
+    want = set()
+    for d, text in docs:
+        a = ids(text.split())
+        for i, b in items.items():
+            for shift in range(1 - len(b), len(a)):
+                same = decontam.overlap(a, b, shift)[2]
+                if same >= decontam.LEAST and (same >= decontam.SHARE * len(b) or same >= decontam.LONG):
+                    want.add((d, i))
+                    break
+    return want
+
+
+@pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.1, 1.0), (0.2, 0.98), (0.3, 0.95)])
+def test_overlaps_against_all_alignments(spark, rate, least):
+    """Recall against a comparison of every place with every place, by share of substituted words; nothing else is found.
+
+    Passages are whole items, parts of items, and items in two parts with other words between.
+    """
+    rng = random.Random(int(rate * 100))
+    word = lambda: "".join(rng.choices(["ba", "ko", "lu", "mi", "re", "sha", "ti"], k=3))
+    items = {i: [word() for _ in range(rng.randint(8, 70))] for i in range(25)}
+    docs = []
+    for d in range(120):
+        passage = list(items[rng.randrange(25)])
+        if d % 3 == 1:
+            passage = passage[: max(8, len(passage) * 2 // 3)]
+        if d % 3 == 2:
+            cut = len(passage) // 2
+            passage[cut:cut] = [word() for _ in range(80)]
+        passage = [word() if rng.random() < rate else w for w in passage]
+        docs.append((d, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame, table).collect()}
+    want = brute(docs, items)
+    assert got <= want and len(got) >= least * len(want) and len(want) > 60
+
+
+def test_short_items_as_whole_runs(spark, leaky):
+    frame, table, want = leaky
+    items = [(100, "Ko lu-mi"), (101, "ko LU mi!"), (102, "zzz"), (103, ""), (104, None), (105, "one two three four five six seven")]
+    docs = [(1, "x ko, lu mi ko lu mi", "r"), (2, "ko lu x mi", "r"), (3, "zzzz zz z", "r"), (4, "ZZZ", "r"), (4, "a ZZZ", "r"), (5, "one two three four five six seven eight", "r"), (6, "one two three four five six eight seven", "r"), (None, "zzz", "r"), (7, None, "r")]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string, region string"), spark.createDataFrame(items, "item_id long, text string"), short_items=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_items, r.matched_words, r.start_word) for r in found) == [(1, 100, 2, 3, 1), (4, 102, 1, 1, 0), (5, 105, 1, 7, 0)]
+    both = {(r.doc_id, r.item_id) for r in decontam.leaks(frame, table, short_items=True).collect()}
+    assert both == want | {(903, 32)} | {p for p in both if p[1] == 32}
+
+
+def test_leaks_in_long_texts(spark):
+    rng = random.Random(3)
+    item = [f"q{i}" for i in range(40)]
+    body = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    body[120_000:120_000] = item
+    frame = spark.createDataFrame([(1, " ".join(body)), (2, "x" * 500_000)], "doc_id long, text string")
+    rows = decontam.leaks(frame, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.matched_words, r.start_word) for r in rows] == [(1, 40, 120_000)]
