@@ -6,6 +6,7 @@ Words are maximal runs of bytes outside space and 0x09-0x0D, as everywhere in th
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -28,15 +29,23 @@ def crc_rest(key: Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir, which has to be set on a cluster; in local mode below a local one if it isn't."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints/keystrata")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keystrata-"))
         top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def free_name(names: list[str], base: str) -> str:
+    """The name, with underscores in front as long as a column has it already."""
+    while base.lower() in {n.lower() for n in names}:
+        base = f"_{base}"
+    return base
+
+
 def written(frame: DataFrame, folder: str, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read back: its lineage ends there."""
     frame.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -52,10 +61,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table of the shared folder."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables of the shared folder."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_apart(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:

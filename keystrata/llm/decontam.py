@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import U, mix, pieces, release, shared_folder, table, window_hashes, words_of, written
+from keystrata.llm.common import U, mix, pieces, release, remove, shared_folder, table, window_hashes, words_of, written
 
 #: The seeds.
 MASKS = ("1101100110101", "1011001101011", "1110010100111")
@@ -232,7 +232,9 @@ def leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataF
     stretches = pairs.mapInArrow(verify, "doc_id long, item_id long, n_items long, item_words long, matched long, span long, start long")
     best = F.max(F.struct("matched", (-F.col("span")).alias("span"), (-F.col("start")).alias("start"), "n_items", "item_words")).alias("b")
     found = stretches.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_items", "b.item_words", F.col("b.matched").alias("matched_words"), (-F.col("b.span")).alias("span_words"), (-F.col("b.start")).alias("start_word"))
-    return found.unionByName(_exact(docs, short)) if short_items and not short.isEmpty() else found
+    found = written(found.unionByName(_exact(docs, short)) if short_items and not short.isEmpty() else found, folder, "leaks")
+    remove(spark, *(f"{folder}/{name}" for name in ("items", "seeds", "regions")))
+    return found
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

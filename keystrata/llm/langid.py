@@ -6,7 +6,9 @@ languages of the winning family are then told apart, pair by pair. All machines
 a whole text costs one lookup per byte and machine.
 
 Training reads at most PER_LANGUAGE rows of each language (a documented bound: rows are taken by a hash of doc_id at
-a rate found from the counts of all rows). Predictions see the text alone.
+a rate found from the counts of all rows). Machines are told apart for the LANGUAGES languages of most rows (another
+documented bound: at most LANGUAGES squared over two machines, which fit the driver and a task; ties go to the smaller
+name). Predictions see the text alone and cover all rows.
 
 Edge cases: a text that is null, empty or without a letter is `und` with score 0; ties of votes go to the smaller
 name; repeated rows are each answered; with one training language that one is always predicted, with none `und`.
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import CHUNK, binary_parts, crc_rest, pieces, table
+from keystrata.llm.common import CHUNK, binary_parts, crc_rest, free_name, pieces, table
 
 PER_LANGUAGE = 800
+LANGUAGES = 48
 BITS = 14
 EPOCHS = 6
 #: Families of common languages.
@@ -124,12 +127,13 @@ def _machine(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray) -> tup
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits all machines on at most per_language rows (doc_id, text, lang) of each language."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return Model()
     share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 0.9 * per_language / n) if n > per_language else 1.0)) for k, n in counts.items()))
-    picked = labelled.where(share < rate[F.col("lang")])
+    picked = labelled.where(share < F.coalesce(rate[F.col("lang")], F.lit(0.0)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +254,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects documents whose text is in no language, those without a letter."""
+    """Pipeline stage: rejects documents whose text is in no language, those without a letter; the others get the
+    language predicted as their lang."""
     model = train(docs.select("doc_id", "text", "lang").where(crc_rest(F.col("doc_id"), 4) != 2))
     names = docs.columns
-    return predict(docs, model, lang="__lang", score="__sure").where(F.col("__lang") != UND).select(*names)
+    lang, sure = free_name(names, "lang_pred"), free_name(names, "sure")
+    kept = predict(docs, model, lang=lang, score=sure).where(F.col(lang) != UND)
+    return kept.select(*[F.col(lang).alias("lang") if n == "lang" else F.col(f"`{n}`") for n in names])

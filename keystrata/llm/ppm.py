@@ -22,6 +22,8 @@ no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -163,7 +165,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     texts = docs.select(F.pmod(F.xxhash64(own), F.lit(blocks)).cast("int").alias("pid"), "doc_id", "train", F.col("text").cast("binary").alias("text"))
 
     def block_runs(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        runs, counts = [], []
+        parts = [(np.empty(0, U), np.empty(0, np.int64))]
         for batch in block.to_batches():
             for part in pieces(batch, "text", CHUNK):
                 train = np.asarray(part["train"]).astype(bool)
@@ -171,9 +173,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 key = (r << U(1)) | train[owner]
                 key.sort()
                 first = np.flatnonzero(np.concatenate([[True], (key[1:] >> U(1)) != (key[:-1] >> U(1))])) if len(key) else np.empty(0, np.int64)
-                runs.append(key[first] >> U(1))
-                counts.append(np.add.reduceat((key & U(1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64))
-        return _added(np.concatenate(runs), np.concatenate(counts)) if runs else (np.empty(0, U), np.empty(0, np.int64))
+                parts.append((key[first] >> U(1), np.add.reduceat((key & U(1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)))
+                parts = merged(parts, _added)
+        return _added(*map(np.concatenate, zip(*parts, strict=True)))
 
     def block_words(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         end = np.asarray(block["train"]).astype(bool).sum()
@@ -183,8 +185,14 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 w = words_of(part["text"], through=LOWER, hashes=2)
                 train = np.asarray(part["train"]).astype(bool)[w.owner()]
                 parts.append(added_words(w.hashes[0], (w.hashes[1] >> U(32)).astype(np.uint32), train.astype(np.int64)))
+                parts = merged(parts, added_words)
         return added_words(*map(np.concatenate, zip(*parts, strict=True)))
 
+    def merged(parts: list[tuple[np.ndarray, ...]], add: Callable[..., tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        """Sums of pieces are merged when they outweigh what is merged already, so no more than that lies about twice."""
+        loose = sum(len(x[0]) for x in parts[1:])
+        return [add(*map(np.concatenate, zip(*parts, strict=True)))] if loose > max(1 << 19, len(parts[0][0])) else parts
+
     def added_words(k1: np.ndarray, k2: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(k1):
             return k1, k2, n

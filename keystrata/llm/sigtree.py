@@ -432,8 +432,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     end = lambda f: F.when(F.col("whole"), -1).otherwise(f("block", "with"))
     tasks = rows.withColumn("with", other).select("unit", "doc_id", "copies", "block", "groups", "shingles", end(F.least).alias("i"), end(F.greatest).alias("j"))
     settled = written(_settled(tasks, percent), folder, "settled")
-    remove(spark, f"{folder}/candidates")
-    remove(spark, f"{folder}/clusters")
+    remove(spark, f"{folder}/candidates", f"{folder}/clusters")
     release(spark)
     links = settled.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("split").alias("split"))
     if settled.where("split").limit(1).count():
@@ -442,6 +441,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         links = links.join(across.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("component", "root"))
     # As a table its size is known, and a set with many copies is no hot key of a shuffle while it is short.
     links = written(links.select(F.col("doc_id").alias("rep_id"), "root", "links"), folder, "links")
+    remove(spark, f"{folder}/settled")
     return members.join(links, "rep_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "rep_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )

@@ -7,8 +7,8 @@ united across passes. Windows bound a pass, not the result: the distinct vectors
 in pairs of blocks of about LIMIT, which counts every link and unites groups that no pass has brought together. So
 no link is missed, however crowded a label is; the settling is quadratic in the distinct vectors of a label.
 
-Passes run one after another and write the pairs that connect their groups, so the disks hold the shuffle of one pass
-at a time; vectors travel in the width that they came in (a float is the same number as a double).
+Passes run AT_ONCE in a job and write the pairs that connect their groups, so the disks hold the shuffle of so many
+passes at a time; vectors travel in the width that they came in (a float is the same number as a double).
 
 Equal vectors of a label become one representative with a number of copies first. Edge cases: a vector that is null,
 zero or has null or non-finite parts links with nothing, as does one of null label or null vec_id; vectors of
@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import join_apart, release, shared_folder, table, written
+from keystrata.llm.common import join_apart, release, remove, shared_folder, table, written
 from keystrata.llm.graph import components
 
 COSINE = 0.98
 PASSES = 12
+AT_ONCE = 4
 PLANES = 24
 WINDOW = 24
 LIMIT = 4096
@@ -70,8 +71,8 @@ def _unit(blobs: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keys(reps: DataFrame, number: int, planes: int) -> DataFrame:
-    """The vectors with their key in pass `number`, whose planes depend on it and the dimension alone."""
+def _keys(reps: DataFrame, numbers: list[int], planes: int) -> DataFrame:
+    """The vectors with their key in each of these passes, whose planes depend on its number and the dimension alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
@@ -82,12 +83,13 @@ def _keys(reps: DataFrame, number: int, planes: int) -> DataFrame:
                 for dim in np.unique(dims).tolist():
                     part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                     if dim not in drawn:
-                        drawn[dim] = np.random.default_rng((dim, number)).standard_normal((dim, planes))
+                        drawn[dim] = np.concatenate([np.random.default_rng((dim, k)).standard_normal((dim, planes)) for k in numbers], 1)
                     side = _unit(part["vector"].to_pylist(), dim) @ drawn[dim] > 0
-                    code = side @ (1 << np.arange(planes - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([part["label"], part["dim"], pa.array(code), part["vec_id"], part["vector"]], ["label", "dim", "key", "vec_id", "vector"])
+                    for at, k in enumerate(numbers):
+                        code = side[:, at * planes : (at + 1) * planes] @ (1 << np.arange(planes - 1, -1, -1, dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), part["label"], part["dim"], pa.array(code), part["vec_id"], part["vector"]], ["pass", "label", "dim", "key", "vec_id", "vector"])
 
-    return reps.select("vec_id", "label", "dim", "vector").mapInArrow(run, "label long, dim int, key long, vec_id long, vector binary")
+    return reps.select("vec_id", "label", "dim", "vector").mapInArrow(run, "pass int, label long, dim int, key long, vec_id long, vector binary")
 
 
 def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
@@ -98,7 +100,7 @@ def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 4000):
                 batch = whole.slice(i, 4000)
-                group = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("label", "dim")], 1)
+                group = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("pass", "label", "dim")], 1)
                 ids, blobs = np.asarray(batch["vec_id"]), np.array(batch["vector"].to_pylist(), object)
                 fresh = np.zeros(len(ids), bool)
                 if kept is not None:
@@ -107,7 +109,7 @@ def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
                 edges = []
                 cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1), [True]]))
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    x = _unit(blobs[lo:hi].tolist(), int(group[lo, 1]))
+                    x = _unit(blobs[lo:hi].tolist(), int(group[lo, 2]))
                     for step in range(1, min(window, hi - lo - 1) + 1):
                         a = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine)
                         a = a[~fresh[lo + a + step]]
@@ -117,7 +119,7 @@ def _neighbours(keyed: DataFrame, window: int, cosine: float) -> DataFrame:
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    ordered = keyed.repartitionByRange("label", "dim", "key", "vec_id").sortWithinPartitions("label", "dim", "key", "vec_id")
+    ordered = keyed.repartitionByRange("pass", "label", "dim", "key", "vec_id").sortWithinPartitions("pass", "label", "dim", "key", "vec_id")
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -197,8 +199,9 @@ def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, plane
     able = rows.where("vector IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
     rep = able.groupBy("label", "vector").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("copies"), F.min("dim").alias("dim"))
     reps = written(rep.select(F.col("rep_id").alias("vec_id"), "label", "vector", "dim", "copies"), folder, "reps")
-    for number in range(passes):
-        written(_neighbours(_keys(reps, number, planes), window, cosine), folder, f"edges/pass={number}")
+    for first in range(0, passes, AT_ONCE):
+        numbers = list(range(first, min(passes, first + AT_ONCE)))
+        written(_neighbours(_keys(reps, numbers, planes), window, cosine), folder, f"edges/first={first}")
         release(spark)
     edges = spark.read.schema("u long, v long").parquet(f"{folder}/edges").select("u", "v").distinct()
     found = components(edges, folder, "vectors").withColumnRenamed("node", "vec_id")
@@ -219,9 +222,12 @@ def near(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, plane
     members = reps.withColumnRenamed("vec_id", "rep_id").join(known, "rep_id", "left").select("label", "vector", F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     links = F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)
-    return join_apart(rows, members, "label", "vector", how="left").select(
+    result = join_apart(rows, members, "label", "vector", how="left").select(
         "vec_id", links.cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept")
     )
+    result = written(result, folder, "result")
+    remove(spark, *(f"{folder}/{name}" for name in ("rows", "reps", "edges", "settled")))
+    return result
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
