@@ -1,7 +1,7 @@
 """The corpus pipeline: documents, stage by stage, each on all that its predecessor kept.
 
 Every stage reads the Parquet that the one before wrote to the shared folder, so a lost executor costs a stage at
-most. Each has a null, empty or repeated row treated as its operator says; an empty table passes through.
+most; what a stage has read goes when its own result is written. Each has a null, empty or repeated row treated as its operator says; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keystrata.llm import decontam, langid, pieces, pii, sigtree
-from keystrata.llm.common import shared_folder, table, written
+from keystrata.llm.common import remove, shared_folder, table, written
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", langid.stage),
@@ -25,9 +25,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark)
+    folder, before = shared_folder(spark), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
