@@ -68,6 +68,27 @@ def back(a: Column) -> Column:
 # ---------------------------------------------------------------- text, positions from 0
 
 
+def assign(text: Column, value: Column) -> Column:
+    """The value in place of the text; an unset one is empty."""
+    return F.coalesce(value, F.lit(""))
+
+
+def append_text(text: Column, more: Column) -> Column:
+    """The text with more behind it; either may be unset."""
+    return F.concat(F.coalesce(text, F.lit("")), F.coalesce(more, F.lit("")))
+
+
+def push_back(text: Column, character: str) -> Column:
+    """The text with one character behind it."""
+    if len(character) != 1:
+        raise ValueError(f"not one character: {character!r}")
+    return append_text(text, F.lit(character))
+
+
+def clear(text: Column) -> Column:
+    return F.lit("")
+
+
 def find(text: Column, part: str) -> Column:
     """Where part begins, -1 if nowhere."""
     return (F.instr(text, part) - 1).cast("long")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- rows
 
@@ -120,34 +122,92 @@ def estimated_bytes(values: Iterable[int]) -> int:
 
 
 def deserialise(data: bytes) -> np.ndarray:
-    """The values of a wire format blob, ascending. Raises ValueError for anything out of form."""
+    """The values of a wire format blob, ascending. Raises ValueError that says which chunk is out of form, and how."""
 
-    def need(condition: bool, what: str) -> None:
-        if not condition:
-            raise ValueError(f"bitmap: {what}")
+    def expect(found: object, wanted: object, what: str) -> None:
+        if found != wanted:
+            raise ValueError(f"not a bitmap blob: {what} is {found!r} where {wanted!r} is due")
 
-    need(len(data) >= 12, "payload too small")
-    need(data[:4] == MAGIC, "bad magic")
+    expect(len(data) >= 12, True, f"a head of 12 bytes in {len(data)}")
+    expect(data[:4], MAGIC, "the mark at its start")
     version, _, count = struct.unpack_from("<HHI", data, 4)
-    need(version == VERSION, "unsupported version")
+    expect(version, VERSION, "its version")
     at, last, out = 12, -1, []
-    for _ in range(count):
-        need(at + 12 <= len(data), "truncated chunk header")
+    for k in range(count):
+        expect(at + 12 <= len(data), True, f"room for the head of chunk {k} of {count}")
         high, kind, n, long = struct.unpack_from("<HBxII", data, at)
         at += 12
-        need(high > last, "unsorted chunks")
-        need(kind in (ARRAY, BITS), "invalid chunk type")
-        need(at + long <= len(data), "truncated chunk payload")
+        expect(high > last, True, f"chunk {k} (of {high}) following chunk {last}")
+        expect(kind in (ARRAY, BITS), True, f"kind {kind} of chunk {k} being known")
+        expect(at + long <= len(data), True, f"room for the {long} bytes of chunk {k}")
         body = np.frombuffer(data, np.uint8, long, at)
         if kind == ARRAY:
-            need(long == 2 * n, "array payload size mismatch")
+            expect(long, 2 * n, f"the length of chunk {k} with {n} numbers")
             low = body.view("<u2").astype(np.int64)
-            need(bool((np.diff(low) > 0).all()), "array not sorted")
+            expect(bool((np.diff(low) > 0).all()), True, f"numbers of chunk {k} ascending")
         else:
-            need(long == WORDS * 8, "bitmap payload size mismatch")
+            expect(long, WORDS * 8, f"the length of chunk {k} of bits")
             low = np.flatnonzero(np.unpackbits(body, bitorder="little"))
-            need(len(low) == n, "cardinality mismatch")
+            expect(len(low), n, f"the cardinality of chunk {k}")
         out.append((high << 16) | low)
         at, last = at + long, high
-    need(at == len(data), "trailing bytes")
+    expect(at, len(data), "the end of the last chunk")
     return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+# ---------------------------------------------------------------- wire format over columns
+
+
+def _chunks(a: DataFrame, *by: str) -> DataFrame:
+    """For each set (by) and upper half of its values: how many there are, and the lower halves, ascending."""
+    x = F.col("x")
+    good = F.when((x >= 0) & (x < 1 << 32), x).otherwise(F.raise_error(F.lit("values have to fit 32 bits")).cast("long"))
+    halves = a.select(*by, F.shiftright(good, 16).cast("int").alias("high"), good.bitwiseAND(0xFFFF).cast("int").alias("low")).distinct()
+    return halves.groupBy(*by, "high").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("low")).alias("lows"))  # 65,536 at most
+
+
+def serialised(a: DataFrame, *by: str) -> DataFrame:
+    """The blob of each set of rows (by, x), as serialise() writes it, by Spark expressions: by, blob.
+
+    Without by, one row, also for no rows. A chunk is one group, a blob's chunks are joined by its set.
+    """
+
+    def little(value: Column, size: int) -> Column:
+        """A number as hex digits, lowest byte first."""
+        byte = lambda k: F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(255)), 2, "0")
+        return F.concat(*[byte(k) for k in range(size)])
+
+    chunks = _chunks(a, *by)
+    dense = F.col("n") > ARRAY_MOST
+    numbers = F.array_join(F.transform("lows", lambda x: little(x, 2)), "")
+    dense_rows = chunks.where(dense).select(*by, "high", F.explode("lows").alias("low"))
+    half = lambda k: F.bitmap_construct_agg(F.bitmap_bit_position(F.when(F.shiftright("low", 15) == k, F.col("low").bitwiseAND(0x7FFF).cast("long") + 1)))
+    words = dense_rows.groupBy(*by, "high").agg(F.hex(F.concat(half(0), half(1))).alias("words"), F.count("*").alias("n"))
+    head = lambda kind, long: F.concat(little(F.col("high"), 2), F.lit(f"{kind:02x}00"), little(F.col("n"), 4), little(long, 4))
+    arrays = chunks.where(~dense).select(*by, "high", F.concat(head(ARRAY, F.col("n") * 2), numbers).alias("body"))
+    every = arrays.unionByName(words.select(*by, "high", F.concat(head(BITS, F.lit(WORDS * 8)), "words").alias("body")))
+    joined = every.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("high", "body"))).alias("chunks"))
+    start = F.concat(F.lit(MAGIC.hex()), little(F.lit(VERSION), 2), little(F.lit(0), 2), little(F.size("chunks"), 4))
+    return joined.select(*by, F.unhex(F.concat(start, F.array_join(F.transform("chunks", lambda c: c["body"]), ""))).alias("blob"))
+
+
+def serialised_bytes(a: DataFrame, *by: str) -> DataFrame:
+    """How long the blob of each set is, without making it: by, bytes."""
+    each = 12 + F.when(F.col("n") > ARRAY_MOST, WORDS * 8).otherwise(2 * F.col("n"))
+    return _chunks(a, *by).groupBy(*by).agg((12 + F.coalesce(F.sum(each), F.lit(0))).alias("bytes"))
+
+
+def deserialised(blobs: DataFrame, blob: str = "blob") -> DataFrame:
+    """Rows (x) of the sets of a column of blobs, with the other columns repeated; a blob out of form fails the job."""
+    rest = [c for c in blobs.columns if c != blob]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch[blob].to_pylist()):
+                values = deserialise(data) if data is not None else np.empty(0, np.int64)
+                for i in range(0, len(values), 1 << 16):
+                    part = values[i : i + (1 << 16)]
+                    own = pa.array(np.full(len(part), k))
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(own) for c in rest), pa.array(part)], [*rest, "x"])
+
+    return blobs.select(*rest, blob).mapInArrow(run, T.StructType([*blobs.select(*rest).schema.fields, T.StructField("x", T.LongType())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 QUANTILES = (0.5, 0.9, 0.99, 0.999)
+#: Latencies that a summary keeps for its quantiles.
+RECENT = 20_000
 
 # ---------------------------------------------------------------- aggregates
 
@@ -64,7 +67,8 @@ class Family:
     help: str
     labels: tuple[str, ...] = ()
     values: dict[tuple[str, ...], float] = field(default_factory=dict)
-    samples: dict[tuple[str, ...], list[float]] = field(default_factory=dict)
+    samples: dict[tuple[str, ...], deque[float]] = field(default_factory=dict)
+    totals: dict[tuple[str, ...], tuple[int, float]] = field(default_factory=dict)
 
     def add(self, *labels: str, by: float = 1) -> None:
         self.values[labels] = self.values.get(labels, 0) + by
@@ -73,7 +77,10 @@ class Family:
         self.values[labels] = to
 
     def observe(self, *labels: str, value: float) -> None:
-        self.samples.setdefault(labels, []).append(value)
+        """Count and sum cover all values, quantiles the last RECENT ones."""
+        self.samples.setdefault(labels, deque(maxlen=RECENT)).append(value)
+        count, total = self.totals.get(labels, (0, 0.0))
+        self.totals[labels] = count + 1, total + value
 
 
 #: Families of the service: name, kind, labels, help.
@@ -129,7 +136,8 @@ def render(f: Family) -> str:
     for labels, values in f.samples.items():
         own = list(zip(f.labels, labels, strict=True))
         lines += [f"{f.name}{_braces([*own, ('quantile', format(q, 'g'))])} {_number(percentile(values, q))}" for q in QUANTILES]
-        lines += [f"{f.name}_count{_braces(own)} {len(values)}", f"{f.name}_sum{_braces(own)} {_number(sum(values))}"]
+        count, total = f.totals[labels]
+        lines += [f"{f.name}_count{_braces(own)} {count}", f"{f.name}_sum{_braces(own)} {_number(total)}"]
     return "\n".join(lines) + "\n"
 
 

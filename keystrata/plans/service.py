@@ -16,6 +16,9 @@ from keystrata.plans.catalog import Catalog, CatalogError
 from keystrata.plans.metrics import Registry
 
 
+VERSION = "0.2"
+
+
 @dataclass(frozen=True)
 class Rows:
     """Rows of a batch lookup by position; None where a key was not found."""
@@ -24,11 +27,32 @@ class Rows:
     error: str = ""
 
 
+class RoundRobin:
+    """Calls of a client that go to several services in turn; one that raises is passed over for the next."""
+
+    def __init__(self, services: Sequence[Service]) -> None:
+        if not services:
+            raise ValueError("no services")
+        self.services, self.at = list(services), 0
+
+    def call(self, method: str, *args: object):
+        failed: Exception | None = None
+        for _ in self.services:
+            service = self.services[self.at % len(self.services)]
+            self.at += 1
+            try:
+                return getattr(service, method)(*args)
+            except OSError as e:
+                failed = e
+        raise failed
+
+
 class Service:
     """Reads answer from the version that is active when they begin; writes commit a new one."""
 
     def __init__(self, catalog: Catalog, metrics: Registry | None = None) -> None:
         self.catalog, self.metrics = catalog, metrics or Registry()
+        self.metrics["build_info"].set(VERSION, to=1)
 
     @contextmanager
     def _measured(self, method: str):
@@ -105,6 +129,12 @@ class Service:
             m["status"] = "ok"
             return ""
 
+    def prune(self, table: str, keep: int) -> list[str]:
+        """Removes old versions of a table, and counts them."""
+        gone = self._table(table).prune(keep)
+        self.metrics["snapshot_pruned_total"].add(table, by=len(gone))
+        return gone
+
     def admin(self, line: str) -> str:
         """One line of the admin protocol."""
         answer = self.catalog.command(line)

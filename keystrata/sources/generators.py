@@ -54,8 +54,8 @@ def wide(spark: SparkSession, n: int, payload: int = 192, lengths: tuple[int, in
         (i * 1_000_003).alias("f_i64"),
         ((i % 10_000) * 0.25).cast("float").alias("f_f32"),
         (i * 0.000015).alias("f_f64"),
-        F.rpad(F.concat(F.lit("s"), i.cast("string"), F.lit("_")), payload, "x").alias("f_str"),
-        F.rpad(F.concat(F.lit("b"), i.cast("string"), F.lit("_")), payload, "y").cast("binary").alias("f_bytes"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(payload - 1)), lambda k: F.char(65 + (i + k) % 26)), "").alias("f_str"),
+        F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(payload - 1)), lambda k: F.lpad(F.hex((i * 131 + k) % 256), 2, "0")), "")).alias("f_bytes"),
         numbers(lengths[0], "int", lambda k: (i + k) % 1_000_000).alias("arr_i32"),
         numbers(lengths[1], "bigint", lambda k: i * 31 + k).alias("arr_i64"),
         numbers(lengths[2], "float", lambda k: (i + k) % 1000 * 0.5).alias("arr_f32"),

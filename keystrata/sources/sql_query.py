@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,18 @@ from keystrata.sources.schema import TableSchema
 FETCH = 4096
 
 
-def options(connection: Mapping[str, str], query: str, init: list[str] = ()) -> dict[str, str]:
-    """Options of the JDBC reader."""
+@dataclass(frozen=True)
+class Slices:
+    """A numeric or time column of the query, and into how many ranges between two values reads are split."""
+
+    column: str
+    low: str
+    high: str
+    count: int
+
+
+def options(connection: Mapping[str, str], query: str, init: list[str] = (), slices: Slices | None = None) -> dict[str, str]:
+    """Options of the JDBC reader. Without slices one task reads the whole result; rows outside the range are read too."""
     out = {
         "url": f"jdbc:mysql://{connection['host']}:{connection['port']}/{connection['database']}",
         "user": connection["user"],
@@ -23,6 +34,10 @@ def options(connection: Mapping[str, str], query: str, init: list[str] = ()) ->
         "fetchsize": str(FETCH),
         "driver": "com.mysql.cj.jdbc.Driver",
     }
+    if slices:
+        # Spark splits tables only, so the query stands as one.
+        out["dbtable"] = f"({out.pop('query').strip().rstrip(';')}) AS result"
+        out |= {"partitionColumn": slices.column, "lowerBound": slices.low, "upperBound": slices.high, "numPartitions": str(slices.count)}
     if init:
         out["sessionInitStatement"] = ";".join(s.strip().rstrip(";") for s in init if s.strip())
     return out
@@ -39,6 +54,6 @@ def typed(result: DataFrame, schema: TableSchema) -> DataFrame:
     return result.select(*out)
 
 
-def read(spark: SparkSession, connection: Mapping[str, str], query: str, schema: TableSchema, init: list[str] = ()) -> DataFrame:
+def read(spark: SparkSession, connection: Mapping[str, str], query: str, schema: TableSchema, init: list[str] = (), slices: Slices | None = None) -> DataFrame:
     """The rows of a query as typed columns; the driver's jar has to be on Spark's class path."""
-    return typed(spark.read.format("jdbc").options(**options(connection, query, init)).load(), schema)
+    return typed(spark.read.format("jdbc").options(**options(connection, query, init, slices)).load(), schema)

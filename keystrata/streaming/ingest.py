@@ -10,7 +10,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import cdc
@@ -24,6 +24,11 @@ def seek_ms(watermark_sec: int, rewind_minutes: int) -> int:
     return max(0, (watermark_sec - rewind_minutes * 60) * 1000)
 
 
+def seek_column(watermark: Column, rewind_minutes: Column) -> Column:
+    """seek_ms() of columns: of a time, and of minutes."""
+    return F.greatest(F.lit(0).cast("long"), (F.unix_timestamp(watermark) - rewind_minutes * 60) * 1000)
+
+
 def resume_offset(saved: int | None) -> int | None:
     """The offset after the saved one; None, the beginning, for none or a negative one."""
     return saved + 1 if saved is not None and saved >= 0 else None

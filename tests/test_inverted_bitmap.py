@@ -115,3 +115,27 @@ def test_random_sets_against_python(spark):
         assert {r.x for r in op(fa, fb).collect()} == want
     assert bitmap.packed_cardinality(bitmap.pack(fa)).first()[0] == len(a)
     assert np.array_equal(bitmap.deserialise(bitmap.serialise(a)), sorted(a))
+
+
+def test_blobs_over_columns(spark):
+    """Sets of many shapes, written by expressions and by the plain writer, and read back."""
+    rng = random.Random(1)
+    sets = {1: {0, 1, 65535, 65536, 2**32 - 1}, 2: set(range(70_000)), 3: set(range(5, 5 + bitmap.ARRAY_MOST)), 4: set(range(1, 2 + bitmap.ARRAY_MOST)), 5: {rng.randrange(2**32) for _ in range(500)}, 6: set(range(40_000, 45_000)) | {2**31}}
+    rows = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "owner int, x long")
+    blobs = bitmap.serialised(rows.unionByName(rows.where("owner = 1")), "owner")
+    got = {r.owner: bytes(r.blob) for r in blobs.collect()}
+    assert got == {k: bitmap.serialise(v) for k, v in sets.items()}
+    assert {r.owner: r.bytes for r in bitmap.serialised_bytes(rows, "owner").collect()} == {k: len(b) for k, b in got.items()}
+    back = bitmap.deserialised(blobs)
+    assert back.columns == ["owner", "x"] and back.exceptAll(rows).count() == 0 and back.count() == rows.count()
+    one = bitmap.serialised(rows.where("owner = 5").select("x"))
+    assert bytes(one.first().blob) == got[5]
+    nothing = rows.where("owner = 9").select("x")
+    assert bytes(bitmap.serialised(nothing).first().blob) == bitmap.serialise([]) and bitmap.serialised_bytes(nothing).first().bytes == 12
+    with pytest.raises(Exception, match="32 bits"):
+        bitmap.serialised(spark.createDataFrame([(1 << 32,)], "x long")).collect()
+
+
+def test_text_verbs(spark):
+    row = spark.createDataFrame([("ab", None)], "a string, b string").select(arrays.append_text(F.col("a"), F.lit("c")), arrays.append_text(F.col("b"), F.col("a")), arrays.push_back(F.col("a"), "!"), arrays.assign(F.col("a"), F.col("b")), arrays.clear(F.col("a"))).first()
+    assert tuple(row) == ("abc", "ab", "ab!", "", "")

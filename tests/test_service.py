@@ -73,3 +73,39 @@ def test_warehouse(spark):
     assert warehouse.read_table(spark, "people", USER).first().asDict() == {"user_id": 1, "age": 2, "name": "x"}
     with pytest.raises(NotImplementedError):
         warehouse.read_odps()
+
+
+def test_pruning_build_and_turns(service):
+    from keystrata.plans.service import RoundRobin
+
+    for i in range(3):
+        service.put("user", {"user_id": i})
+    assert len(service.prune("user", 1)) == 2
+    text = service.scrape()
+    assert 'keystrata_snapshot_pruned_total{table="user"} 2' in text and 'keystrata_build_info{version="' in text
+
+    class Down:
+        def get(self, *_):
+            raise ConnectionError("down")
+
+    client = RoundRobin([Down(), service])
+    assert [client.call("get", "user", 2).found for _ in range(3)] == [True] * 3
+    with pytest.raises(ConnectionError):
+        RoundRobin([Down()]).call("get", "user", 1)
+
+
+def test_summaries_keep_recent_values():
+    from keystrata.plans import metrics
+
+    f = metrics.Family("m", "summary", "h", ("a",))
+    for i in range(metrics.RECENT + 10):
+        f.observe("x", value=float(i))
+    text = metrics.render(f)
+    assert len(f.samples["x",]) == metrics.RECENT and f'm_count{{a="x"}} {metrics.RECENT + 10}' in text
+
+
+def test_query_reads_in_slices():
+    from keystrata.sources import sql_query
+
+    o = sql_query.options({"host": "h", "port": "1", "database": "d", "user": "u"}, "SELECT 1 AS id;", slices=sql_query.Slices("id", "0", "100", 8))
+    assert "query" not in o and o["dbtable"] == "(SELECT 1 AS id) AS result" and (o["partitionColumn"], o["numPartitions"]) == ("id", "8")
