@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 
 from keystrata.functions import arrays, values
 from keystrata.operators import bitmap, cdc, inverted, kv
-from keystrata.plans import metrics
+from keystrata.plans import importer, metrics
+from keystrata.plans.catalog import Catalog
+from keystrata.plans.scratch import shared_folder
 from keystrata.sources import generators
 from keystrata.sources.schema import Field, TableSchema
-from keystrata.streaming.ingest import seek_ms
+from keystrata.streaming import ingest
+from keystrata.streaming.ingest import seek_column
 
 _KIND = {T.BooleanType: "bool", T.IntegerType: "int32", T.LongType: "int64", T.FloatType: "float", T.DoubleType: "double", T.StringType: "string", T.BinaryType: "bytes"}
 
@@ -57,6 +60,20 @@ def _postings(spark, sf):
     return inverted.postings(*_documents(spark, sf))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, sf):
+    """The active version of an inverted table of all documents, which is built once in a session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        rows, schema = _documents(spark, sf)
+        folder = shared_folder(spark)
+        Catalog(spark, folder).create("documents", schema, "inverted").commit(rows)
+        _STORED[at] = folder
+    return Catalog(spark, _STORED[at]).open("documents", "inverted").acquire()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -180,12 +197,13 @@ def product_contract(spark, sf):
     return values.contract(generators.products(spark, 20_000), "id", values.product_rules())
 
 
-@query("""SELECT i AS id, i % 2 = 1 AS f_bool, i * 1000003 AS f_i64, CAST((i % 10000) * 0.25 AS DOUBLE) AS f_f32, 192 AS n_str, 48 AS n_i32, 32 AS n_i64,
-CAST(xor(i, 1515870810) AS INTEGER) AS f_i32 FROM range(1, 5001) r(i)""")
+@query("""SELECT i AS id, i % 2 = 1 AS f_bool, i * 1000003 AS f_i64, CAST((i % 10000) * 0.25 AS DOUBLE) AS f_f32, CAST(xor(i, 1515870810) AS INTEGER) AS f_i32,
+array_to_string(list_transform(range(0, 192), lambda k: chr(CAST(65 + (i + k) % 26 AS INTEGER))), '') AS f_str, upper(array_to_string(list_transform(range(0, 192), lambda k: printf('%02x', (i * 131 + k) % 256)), '')) AS f_bytes,
+array_to_string(list_transform(range(0, 48), lambda k: i + k), ',') AS arr_i32, array_to_string(list_transform(range(0, 32), lambda k: i * 31 + k), ',') AS arr_i64 FROM range(1, 5001) r(i)""")
 def wide_generator(spark, sf):
-    size = lambda c: F.size(c)
+    show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return generators.wide(spark, 5000).select(
-        "id", "f_bool", "f_i64", F.col("f_f32").cast("double").alias("f_f32"), F.char_length("f_str").alias("n_str"), size("arr_i32").alias("n_i32"), size("arr_i64").alias("n_i64"), "f_i32"
+        "id", "f_bool", "f_i64", F.col("f_f32").cast("double").alias("f_f32"), "f_i32", "f_str", F.hex("f_bytes").alias("f_bytes"), show("arr_i32"), show("arr_i64")
     )
 
 
@@ -208,8 +226,52 @@ SELECT {_ORDER_COLUMNS} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey F
 def kv_batch_upsert_dups(spark, sf):
     orders, schema = _orders(spark, sf)
     lines = _table(spark, sf, "lineitem")
-    delta = _last_lines(lines).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("o_custkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_quantity").alias("o_totalprice"), F.col("l_linestatus").alias("o_orderpriority"))
-    return kv.upsert(orders, delta, schema)
+    return kv.batch_upsert(orders, _line_orders(lines), schema, *_line_order())
+
+
+def _line_order():
+    return [F.col(f"__{c}") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]
+
+
+def _line_orders(lines: DataFrame) -> DataFrame:
+    """Lines as rows of orders, many to a key, with what orders them."""
+    shown = [F.col(a).alias(b) for a, b in (("l_orderkey", "o_orderkey"), ("l_partkey", "o_custkey"), ("l_returnflag", "o_orderstatus"), ("l_quantity", "o_totalprice"), ("l_linestatus", "o_orderpriority"))]
+    return lines.select(*shown, *[F.col(c).alias(f"__{c}") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")])
+
+
+@query(f"""WITH d AS (SELECT l_orderkey AS o_orderkey, l_partkey AS o_custkey, l_returnflag AS o_orderstatus, l_quantity AS o_totalprice, l_linestatus AS o_orderpriority FROM ({_LINE_LAST}))
+SELECT {_ORDER_COLUMNS} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d) UNION ALL SELECT {_ORDER_COLUMNS} FROM d""")
+def kv_put_batch(spark, sf):
+    """The atomic batch, of which every row is good."""
+    orders, schema = _orders(spark, sf)
+    return kv.put_batch(orders, _line_orders(_table(spark, sf, "lineitem")), schema, *_line_order())
+
+
+@query("SELECT 'the batch is refused' AS outcome, count(*) AS rows FROM part")
+def kv_put_batch_rejected(spark, sf):
+    """The atomic batch with one row without a key: nothing of it is applied."""
+    part, schema = _part(spark, sf)
+    bad = part.withColumn("p_partkey", F.when(F.col("p_size") < 50, F.col("p_partkey"))).withColumn("p_size", -F.col("p_size"))
+    try:
+        kv.put_batch(part, bad, schema, F.col("p_name"))
+        outcome = "the batch is applied"
+    except kv.RejectedBatch:
+        outcome = "the batch is refused"
+    return kv.size(part).select(F.lit(outcome).alias("outcome"), F.col("size").alias("rows"))
+
+
+@query(f"""WITH d AS (SELECT l_orderkey AS o_orderkey, l_partkey AS o_custkey, l_returnflag AS o_orderstatus, l_quantity AS o_totalprice, l_linestatus AS o_orderpriority FROM ({_LINE_LAST}))
+SELECT {_ORDER_COLUMNS} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d) UNION ALL SELECT {_ORDER_COLUMNS} FROM d""")
+def kv_batch_put(spark, sf):
+    orders, schema = _orders(spark, sf)
+    return kv.batch_put(orders, _line_orders(_table(spark, sf, "lineitem")), schema, *_line_order())
+
+
+@query("SELECT s_suppkey AS c_custkey, s_name AS c_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def kv_put(spark, sf):
+    """Suppliers put among customers: keys that are live answer with the new row."""
+    customers = _table(spark, sf, "customer", "c_custkey", "c_name")
+    return kv.put(customers, _table(spark, sf, "supplier", F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name")), schema_of(customers, "c_custkey"))
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
@@ -247,10 +309,10 @@ _TOKENS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 _POST = f"(SELECT DISTINCT doc_id AS key, unnest({_TOKENS}) AS term FROM documents)"
 
 
-@query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens, array_to_string({_TOKENS}[1:20], ' ') AS head FROM documents")
+@query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens, sha256(array_to_string({_TOKENS}, ' ')) AS tokens_sha256 FROM documents")
 def inv_tokenize(spark, sf):
     words = arrays.tokens(F.col("text"))
-    return _table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.array_join(F.slice(words, 1, 20), " ").alias("head"))
+    return _table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.sha2(F.array_join(words, " "), 256).alias("tokens_sha256"))
 
 
 @query(f"SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
@@ -265,32 +327,32 @@ def inv_postings(spark, sf):
 
 @query(f"SELECT 2 AS field_id, term, count(*) AS n_docs FROM {_POST} GROUP BY term")
 def inv_term_df(spark, sf):
-    return inverted.term_stats(_postings(spark, sf))
+    return inverted.term_stats(_stored(spark, sf).postings)
 
 
 @query(f"SELECT key FROM {_POST} WHERE term = 'the'")
 def inv_query_term(spark, sf):
-    return inverted.query(_postings(spark, sf), 2, "THE")
+    return inverted.query(_stored(spark, sf).postings, 2, "THE")
 
 
 @query("SELECT doc_id AS key FROM documents WHERE false")
 def inv_query_phrase_empty(spark, sf):
-    return inverted.query(_postings(spark, sf), 2, "the of")
+    return inverted.query(_stored(spark, sf).postings, 2, "the of")
 
 
 @query(f"SELECT key FROM {_POST} WHERE term IN ('the', 'of', 'and') GROUP BY key HAVING count(*) = 3")
 def inv_query_and(spark, sf):
-    return inverted.query_and(_postings(spark, sf), 2, ["the", "Of", "and", "the"])
+    return inverted.query_and(_stored(spark, sf).postings, 2, ["the", "Of", "and", "the"])
 
 
 @query("SELECT doc_id AS key FROM documents WHERE false")
 def inv_query_and_missing(spark, sf):
-    return inverted.query_and(_postings(spark, sf), 2, ["the", "zzzzqqqq"])
+    return inverted.query_and(_stored(spark, sf).postings, 2, ["the", "zzzzqqqq"])
 
 
 @query(f"SELECT DISTINCT key FROM {_POST} WHERE term IN ('der', 'la')")
 def inv_query_or(spark, sf):
-    return inverted.query_or(_postings(spark, sf), 2, ["der", "la", "zzzzqqqq"])
+    return inverted.query_or(_stored(spark, sf).postings, 2, ["der", "la", "zzzzqqqq"])
 
 
 @query("SELECT p_partkey AS key FROM part WHERE p_size = 25")
@@ -316,23 +378,20 @@ def inv_delete(spark, sf):
 
 @query(f"SELECT doc_id, text, lang FROM documents WHERE doc_id IN (SELECT key FROM {_POST} WHERE term IN ('the', 'is') GROUP BY key HAVING count(*) = 2)")
 def inv_fetch_docs(spark, sf):
-    docs, schema = _documents(spark, sf)
-    return inverted.fetch(inverted.query_and(inverted.postings(docs, schema), 2, ["the", "is"]), docs, schema)
+    held = _stored(spark, sf)
+    return inverted.fetch(inverted.query_and(held.postings, 2, ["the", "is"]), held.rows, held.schema)
 
 
 # ---------------------------------------------------------------- sets
 
 
-def _users(spark, sf, kind):
-    return bitmap.as_set(_table(spark, sf, "events").where(F.col("event_type") == kind), "user_id")
-
-
-_A = "(SELECT DISTINCT user_id AS x FROM events WHERE event_type = 'click' AND user_id % 3 <> 0)"
-_B = "(SELECT DISTINCT user_id AS x FROM events WHERE event_type = 'view' AND user_id % 4 <> 0)"
+_A = "(SELECT DISTINCT o_custkey AS x FROM orders)"
+_B = "(SELECT DISTINCT user_id AS x FROM events)"
 
 
 def _ab(spark, sf):
-    return _users(spark, sf, "click").where("x % 3 <> 0"), _users(spark, sf, "view").where("x % 4 <> 0")
+    """Customers with orders and users with events: two whole sets that overlap."""
+    return bitmap.as_set(_table(spark, sf, "orders"), "o_custkey"), bitmap.as_set(_table(spark, sf, "events"), "user_id")
 
 
 @query(f"SELECT x FROM {_A} UNION SELECT x FROM {_B}")
@@ -377,6 +436,26 @@ def bm_contains(spark, sf):
     return bitmap.contains(spark.range(200).select(F.col("id").alias("x")), _ab(spark, sf)[0])
 
 
+@query("SELECT DISTINCT event_type, user_id AS x FROM events")
+def bm_wire_round_trip(spark, sf):
+    """Users of each type, as blobs and back."""
+    users = _table(spark, sf, "events", "event_type", F.col("user_id").alias("x"))
+    return bitmap.deserialised(bitmap.serialised(users, "event_type"))
+
+
+@query("""SELECT event_type, CAST(12 + sum(12 + CASE WHEN n > 4096 THEN 8192 ELSE 2 * n END) AS BIGINT) AS bytes
+FROM (SELECT event_type, user_id >> 16 AS high, count(DISTINCT user_id) AS n FROM events GROUP BY ALL) GROUP BY event_type""")
+def bm_wire_bytes(spark, sf):
+    users = _table(spark, sf, "events", "event_type", F.col("user_id").alias("x"))
+    blobs = bitmap.serialised(users, "event_type").select("event_type", F.octet_length("blob").cast("long").alias("made"))
+    return bitmap.serialised_bytes(users, "event_type").join(blobs, "event_type").select("event_type", F.when(F.col("bytes") == F.col("made"), F.col("bytes")).alias("bytes"))
+
+
+@query(f"SELECT x FROM {_A} ORDER BY x")
+def bm_ascending(spark, sf):
+    return bitmap.ascending(_ab(spark, sf)[0])
+
+
 @query(f"SELECT x FROM {_A} UNION SELECT i FROM range(0, 50) r(i)")
 def bm_add(spark, sf):
     return bitmap.add(_ab(spark, sf)[0], spark.range(50).select(F.col("id").alias("x")))
@@ -438,6 +517,22 @@ def cdc_rejected_inserts(spark, sf):
     return cdc.rejected_inserts(_ops(spark, sf), _CDC)
 
 
+@query(f"{_FOLD_SQL} SELECT user_id, {_SCALARS}, {_CLICKS} FROM k GROUP BY user_id")
+def stream_fold(spark, sf):
+    """All operations as messages of a stream that is started twice on one checkpoint, folded into a stored table."""
+    folder = shared_folder(spark)
+    ops = _ops(spark, sf)
+    body = F.to_json(F.struct(F.col("op").alias("_op"), "user_id", "value", "kind", "clicks"))
+    messages = ops.select("offset", body.alias("value"))
+    half = ops.agg((F.max("offset") / 2).cast("long")).first()[0] or 0
+    table = Catalog(spark, f"{folder}/tables").create("user", _CDC)
+    for part in (messages.where(F.col("offset") <= half), messages.where(F.col("offset") > half)):
+        part.write.mode("append").json(f"{folder}/messages")
+        stream = ingest.run(table, ingest.file_messages(spark, f"{folder}/messages"), f"{folder}/checkpoint")
+        stream.awaitTermination()
+    return _shown(values.materialise(table.acquire().rows, _CDC))
+
+
 @query("SELECT CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op, count(*) AS n FROM events GROUP BY 1")
 def cdc_op_stats(spark, sf):
     return cdc.op_stats(_ops(spark, sf))
@@ -485,9 +580,7 @@ def cdc_error_stats(spark, sf):
 
 @query("SELECT event_id, greatest(0, (CAST(floor(epoch(ts)) AS BIGINT) - (event_id % 5) * 60) * 1000) AS start_ms FROM events")
 def catchup_seek(spark, sf):
-    e = _table(spark, sf, "events")
-    assert seek_ms(120, 2) == 0
-    return e.select("event_id", F.greatest(F.lit(0).cast("long"), (F.unix_timestamp("ts") - (F.col("event_id") % 5) * 60) * 1000).alias("start_ms"))
+    return _table(spark, sf, "events").select("event_id", seek_column(F.col("ts"), F.col("event_id") % 5).alias("start_ms"))
 
 
 # ---------------------------------------------------------------- arrays, text and metrics
@@ -541,6 +634,74 @@ def metric_gauges(spark, sf):
     return metrics.gauges(_table(spark, sf, "events"), "value", F.col("event_id"), "event_type")
 
 
-@query("SELECT event_type, count(value) AS count, round(sum(value), 4) AS sum FROM events GROUP BY event_type")
+@query("""SELECT event_type, count(value) AS count, round(sum(value), 4) AS sum, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p99_9
+FROM events GROUP BY event_type""")
 def metric_summaries(spark, sf):
-    return metrics.summaries(_table(spark, sf, "events"), "value", "event_type").select("event_type", "count", F.round("sum", 4).alias("sum"))
+    return metrics.summaries(_table(spark, sf, "events"), "value", "event_type").withColumn("sum", F.round("sum", 4))
+
+
+# ---------------------------------------------------------------- inputs and stored tables
+
+
+@query("""SELECT event_id, event_id % 2 = 0 AS as_bool, CAST(event_id AS BIGINT) AS as_int64, CAST(CAST(value AS FLOAT) AS DOUBLE) AS as_float, CAST(value AS DOUBLE) AS as_double,
+event_type AS as_string, strlen(event_type) AS bytes_length FROM events""")
+def coerce_scalars(spark, sf):
+    """Inputs of every scalar type as the fields that take them: integers of other widths, text from bytes and back."""
+    e = _table(spark, sf, "events")
+    given = e.select("event_id", (F.col("event_id") % 2 == 0).alias("as_bool"), F.col("event_id").cast("decimal(18,0)").alias("as_int64"), F.col("value").cast("float").alias("as_float"), F.col("value").cast("double").alias("as_double"), F.col("event_type").cast("binary").alias("as_string"), F.col("event_type").alias("as_bytes"))
+    kinds = (("event_id", "int64"), ("as_bool", "bool"), ("as_int64", "int64"), ("as_float", "float"), ("as_double", "double"), ("as_string", "string"), ("as_bytes", "bytes"))
+    out = values.project(given, TableSchema("e", "event_id", tuple(Field(n, k, i) for i, (n, k) in enumerate(kinds, 1))))
+    return out.withColumn("as_float", F.col("as_float").cast("double")).withColumn("bytes_length", F.octet_length("as_bytes").cast("long")).drop("as_bytes")
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x IS NOT NULL)) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def coerce_lists(spark, sf):
+    kind = {T.FloatType: "float", T.DoubleType: "double"}[type(_table(spark, sf, "embeddings").schema["embedding"].dataType.elementType)]
+    schema = TableSchema("v", "vec_id", (Field("vec_id", "int64", 1), Field("embedding", kind, 2, True)))
+    a = F.col("embedding")
+    return values.project(_table(spark, sf, "embeddings"), schema).select("vec_id", arrays.array_size(a).alias("n"), arrays.front(a).cast("double").alias("first"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'csv ' || p_brand ELSE p_name END AS p_name, p_size FROM part""")
+def import_mixed(spark, sf):
+    """All parts as Parquet, then some again as CSV: a bulk import into a stored table, in the order of the inputs."""
+    folder = shared_folder(spark)
+    part = _table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    part.write.parquet(f"{folder}/z.parquet")
+    later = part.where("p_size > 25").select("p_partkey", F.concat(F.lit("csv "), "p_brand").alias("p_name"), "p_brand", "p_size")
+    later.write.option("header", True).csv(f"{folder}/a")
+    schema = TableSchema("part", "p_partkey", (Field("p_partkey", "int64", 1), Field("p_name", "string", 2), Field("p_size", "int32", 3)))
+    table = Catalog(spark, f"{folder}/tables").create("part", schema)
+    importer.run(table, [f"{folder}/z.parquet", f"{folder}/a/"])
+    return table.acquire().rows.select(*schema.names)
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT s_suppkey FROM supplier) THEN -1.0 ELSE c_acctbal END AS c_acctbal, 'served' AS state
+FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)""")
+def catalog_release(spark, sf):
+    """A stored table is committed, changed, published, deployed elsewhere and served from there."""
+    folder = shared_folder(spark)
+    rows = _table(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal")
+    schema = schema_of(rows, "c_custkey")
+    table = Catalog(spark, f"{folder}/build").create("customer", schema)
+    table.commit(rows)
+    table.upsert(rows.join(_table(spark, sf, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left_semi").withColumn("c_acctbal", F.lit(-1.0)))
+    table.delete(_table(spark, sf, "nation", F.col("n_nationkey").cast("long").alias("key")))
+    table.catalog.publish("customer", f"{folder}/store")
+    serve = Catalog(spark, f"{folder}/serve")
+    serve.deploy("customer", f"{folder}/store")
+    snapshot = serve.open("customer", "kv").acquire()
+    state = "served" if snapshot.meta["record_count"] == snapshot.rows.count() and len(table.versions()) == 3 else "wrong"
+    return values.materialise(snapshot.rows, schema).withColumn("state", F.lit(state))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def catalog_versions(spark, sf):
+    """A version that is switched back to, after which later ones are pruned."""
+    rows = _table(spark, sf, "nation", F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    table = Catalog(spark, shared_folder(spark)).create("nation", schema_of(rows, "n_nationkey"))
+    first = table.commit(rows)
+    table.commit(rows.where("n_nationkey > 5"))
+    table.switch(first)
+    table.prune(1)
+    return table.acquire().rows.select("n_nationkey", "n_name").where(F.lit(table.versions() == [first]))
