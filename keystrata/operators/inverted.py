@@ -33,20 +33,23 @@ def terms_of(f: Field) -> Column | None:
 
 
 def postings(snapshot: DataFrame, schema: TableSchema) -> DataFrame:
-    """Distinct (field_id, term, key) of all indexed fields.
+    """Distinct (field_id, term, key) of all indexed fields, in one pass over the rows.
 
     Terms are made distinct within a row's array; a key has one row, so no shuffle is needed.
     """
-    out = None
+    shape = "array<struct<field_id:int,term:string>>"
+
+    def pairs(number: int, terms: Column) -> Column:
+        found = F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(number).alias("field_id"), t.alias("term")))
+        return F.coalesce(found.cast(shape), F.array().cast(shape))
+
+    parts = []
     for f in schema.fields:
         terms = terms_of(f) if f.is_index else None
-        if terms is None:
-            continue
-        rows = snapshot.select(F.lit(f.number).alias("field_id"), F.explode(F.array_distinct(terms)).alias("term"), F.col(schema.key).alias("key"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return snapshot.select(F.lit(0).alias("field_id"), F.lit("").alias("term"), F.col(schema.key).alias("key")).limit(0)
-    return out
+        if terms is not None:
+            parts.append(pairs(f.number, terms))
+    rows = snapshot.select(F.col(schema.key).alias("key"), F.explode(F.concat(*parts) if parts else F.array().cast(shape)).alias("p"))
+    return rows.select("p.field_id", "p.term", "key")
 
 
 def query(index: DataFrame, field_id: int, term: str) -> DataFrame:

@@ -139,3 +139,10 @@ def test_blobs_over_columns(spark):
 def test_text_verbs(spark):
     row = spark.createDataFrame([("ab", None)], "a string, b string").select(arrays.append_text(F.col("a"), F.lit("c")), arrays.append_text(F.col("b"), F.col("a")), arrays.push_back(F.col("a"), "!"), arrays.assign(F.col("a"), F.col("b")), arrays.clear(F.col("a"))).first()
     assert tuple(row) == ("abc", "ab", "ab!", "", "")
+
+
+def test_all_fields_in_one_pass(spark, users, tmp_path):
+    users.write.parquet(str(tmp_path / "u"))
+    index = inverted.postings(spark.read.parquet(str(tmp_path / "u")), USER)
+    assert index._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r.field_id, r.term) for r in index.where("key = 2").collect()) == [(2, "30"), (3, "music"), (3, "rock")]
