@@ -5,7 +5,9 @@
     <root>/<table>/active            the name of the snapshot that readers get
 
 A snapshot never changes once it is written. A commit writes a new one and then replaces the pointer, so a reader
-sees one or the other, and what it has planned keeps reading the files it was planned on. The root may be in any file
+sees one or the other, and what it has planned keeps reading the files it was planned on. A commit of some keys writes
+the buckets of these keys only; for the others its meta.json names the builds that hold them (`parts`), which are kept
+as long as a version needs them. After MOST_PARTS such builds a commit writes all buckets. The root may be in any file
 system that Spark reads; releases are copied by Spark's tasks, not by the driver.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ KINDS = ("kv", "inverted")
 SKIPPED_SUFFIX = "~reload"
 #: A writer renews its lock three times in LEASE_SEC; one that hasn't for so long has ended, and the lock is taken over.
 LEASE_SEC = 600
+#: Builds that a version may be put together from.
+MOST_PARTS = 8
 SIDES = ("schema.json", "table.json")
 
 
@@ -75,23 +79,37 @@ class Snapshot:
     meta: dict
     spark: SparkSession
 
+    def stored(self) -> T.StructType:
+        """The columns that the files have of the schema's fields, which are found by their number."""
+        names = self.meta["columns"]
+        held = [T.StructField(names[str(f.number)], f.data_type) for f in self.schema.fields if str(f.number) in names]
+        return T.StructType([*held, T.StructField(kv.BUCKET, T.IntegerType())])
+
+    def _read(self, what: str, shape: T.StructType, bucket: Column) -> DataFrame:
+        """The data or postings of all builds that this version is put together from, each for its buckets.
+
+        A build may have no file, so the shape is said and not found.
+        """
+        root, out = self.path.rsplit("/", 1)[0], None
+        for build, buckets in self.meta.get("parts", {self.build_id: None}).items():
+            frame = self.spark.read.schema(shape).parquet(f"{root}/{build}/{what}")
+            frame = frame if buckets is None else frame.where(bucket.isin(buckets))
+            out = frame if out is None else out.unionByName(frame)
+        return out
+
     @property
     def rows(self) -> DataFrame:
-        frame = self.spark.read.parquet(f"{self.path}/data")
-        # A schema may have renamed or added fields since: columns are found by their number.
-        stored = self.meta.get("columns", {})
-        out = []
-        for f in self.schema.fields:
-            name = stored.get(str(f.number), f.name)
-            out.append(F.col(f"`{name}`").alias(f.name) if name in frame.columns else F.lit(None).cast(f.data_type).alias(f.name))
-        extra = [F.col(kv.BUCKET)] if kv.BUCKET in frame.columns else []
-        return frame.select(*out, *extra)
+        frame, names = self._read("data", self.stored(), F.col(kv.BUCKET)), self.meta["columns"]
+        # A schema may have renamed or added fields since.
+        shown = [F.col(f"`{names[str(f.number)]}`") if str(f.number) in names else F.lit(None).cast(f.data_type) for f in self.schema.fields]
+        return frame.select(*[c.alias(f.name) for c, f in zip(shown, self.schema.fields, strict=True)], kv.BUCKET)
 
     @property
     def postings(self) -> DataFrame:
         if self.kind != "inverted":
             raise CatalogError(f"{self.schema.name} has no postings")
-        return self.spark.read.parquet(f"{self.path}/postings")
+        shape = T.StructType([T.StructField("field_id", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("key", self.schema.key_field.data_type)])
+        return self._read("postings", shape, kv.bucket_of(F.col("key"), self.buckets))
 
     def get(self, key: object) -> kv.Answer:
         if key is None or str(key) == "":
@@ -141,6 +159,8 @@ class Table:
         """Removes old versions but for the newest `keep` and the active one."""
         current = self.active() or max(self.versions(), default="")
         stay = kept_builds(self.versions(), keep, current)
+        # Versions that stay need the builds that hold some of their buckets.
+        stay |= {part for v in stay if v for part in self._meta(v).get("parts", {})}
         gone = [v for v in self.versions() if v not in stay]
         for v in gone:
             self.files.delete(f"{self.root}/{v}")
@@ -239,19 +259,25 @@ class Table:
         """
         return self.change(lambda _: rows, activate=activate, build_id=build_id, extra=extra)
 
-    def change(self, following: Callable[[DataFrame], DataFrame | None], *, activate: bool = True, build_id: str | None = None, extra: dict | None = None) -> str | None:
+    def change(self, following: Callable[[DataFrame], DataFrame | None], *, keys: DataFrame | None = None, activate: bool = True, build_id: str | None = None, extra: dict | None = None) -> str | None:
         """Reads the active rows, computes those that follow and commits them, all under the lock: no commit is lost.
 
-        following may answer None, and then nothing is committed.
+        following may answer None, and then nothing is committed. With keys, a frame (key) of all keys that change,
+        it gets and gives the rows of their buckets only, and no other bucket is written.
         """
         with self.lock() as held:
             before = self.active()
-            rows = following(self._base())
+            base, touched = self._base(), None
+            if keys is not None and before is not None:
+                touched = self._touched(self.acquire(), keys)
+            if touched is not None:
+                base = self.acquire().rows.where(F.col(kv.BUCKET).isin(touched)).select(*self.schema().names)
+            rows = following(base)
             if rows is None:
                 return None
             known = {**(extra or {})}
             stream = {**(self._meta(before).get("stream", {}) if before else {}), **known.pop("stream", {})}
-            build_id = self._write(rows, build_id, {**({"stream": stream} if stream else {}), **known}, held)
+            build_id = self._write(rows, build_id, {**({"stream": stream} if stream else {}), **known}, held, before, touched)
             if activate:
                 held()
                 if self.active() != before:
@@ -259,10 +285,21 @@ class Table:
                 self.files.replace(f"{self.root}/active", build_id)
             return build_id
 
+    def _touched(self, current: Snapshot, keys: DataFrame) -> list[int] | None:
+        """The buckets of the keys; None where all buckets have to be written anyway."""
+        same = current.meta["columns"] == self._columns() and current.buckets == self.catalog.buckets and "bucket_rows" in current.meta
+        if not same or len(current.meta.get("parts", [])) >= MOST_PARTS:
+            return None
+        found = keys.select(kv.bucket_of(F.col("key"), self.catalog.buckets).alias("b")).distinct().collect()  # as many as buckets
+        return sorted(r["b"] for r in found) if len(found) < self.catalog.buckets else None
+
+    def _columns(self) -> dict[str, str]:
+        return {str(f.number): f.name for f in self.schema().fields}
+
     def _meta(self, build_id: str) -> dict:
         return json.loads(self.files.read(f"{self.root}/{build_id}/meta.json"))
 
-    def _write(self, rows: DataFrame, build_id: str | None, extra: dict, held: Callable[[], None]) -> str:
+    def _write(self, rows: DataFrame, build_id: str | None, extra: dict, held: Callable[[], None], before: str | None, touched: list[int] | None) -> str:
         schema, kind, buckets = self.schema(), self._kind(), self.catalog.buckets
         build_id = build_id or new_build_id(lambda b: self.files.exists(f"{self.root}/{b}"))
         draft = f"{self.root}/.{build_id}"
@@ -270,8 +307,18 @@ class Table:
         written = self.catalog.spark.read.schema(schema.struct_type().add(kv.BUCKET, T.IntegerType())).parquet(f"{draft}/data")
         if kind == "inverted":
             write_postings(inverted.postings(written, schema), f"{draft}/postings")
-        # The count comes from the footers that were just written.
-        meta = {"kind": kind, "build_id": build_id, "buckets": buckets, "record_count": written.count(), "bytes": self.files.bytes(draft), "columns": {str(f.number): f.name for f in schema.fields}, **extra}
+        # The counts come from the footers that were just written.
+        count = {str(r[kv.BUCKET]): r["count"] for r in written.groupBy(kv.BUCKET).count().collect()}
+        parts: dict[str, list[int]] = {}
+        if touched is not None:
+            old = self._meta(before)
+            parts = {b: [k for k in (range(buckets) if own is None else own) if k not in touched] for b, own in old.get("parts", {before: None}).items()}
+            parts = {b: own for b, own in parts.items() if own} | {build_id: touched}
+            count = {k: n for k, n in old["bucket_rows"].items() if int(k) not in touched} | count
+        meta = {
+            "kind": kind, "build_id": build_id, "buckets": buckets, "record_count": sum(count.values()), "bytes": self.files.bytes(draft), "columns": self._columns(),
+            "bucket_rows": count, **({"parts": parts} if parts else {}), **extra,
+        }
         self.files.replace(f"{draft}/meta.json", json.dumps(meta, indent=2))
         held()
         self.files.move(draft, f"{self.root}/{build_id}")
@@ -287,15 +334,20 @@ class Table:
 
     def upsert(self, delta: DataFrame, *order) -> str:
         """Commits delta's rows in place of those of their keys; of repeated keys the last by order, or of the frame."""
-        return self.change(lambda base: kv.batch_upsert(base, delta, self.schema(), *order))
+        return self.change(lambda base: kv.batch_upsert(base, delta, self.schema(), *order), keys=self._keys(delta))
 
     def put_batch(self, delta: DataFrame, *order) -> str:
         """Commits all of delta or raises and commits nothing; of repeated keys the last by order, or of the frame."""
-        return self.change(lambda base: kv.put_batch(base, delta, self.schema(), *order))
+        return self.change(lambda base: kv.put_batch(base, delta, self.schema(), *order), keys=self._keys(delta))
 
     def delete(self, keys: DataFrame) -> str:
         """Commits the table without the keys of a frame (key)."""
-        return self.change(lambda base: kv.delete(base, keys, self.schema()))
+        return self.change(lambda base: kv.delete(base, keys, self.schema()), keys=keys)
+
+    def _keys(self, delta: DataFrame) -> DataFrame | None:
+        """The keys of delta; None where it has none, and what it is applied to will say so."""
+        key = self.schema().key
+        return delta.select(F.col(key).alias("key")) if key in delta.columns else None
 
     def evolve(self, schema: TableSchema) -> None:
         """Replaces the schema by one that adds, renames or drops fields."""
@@ -352,17 +404,18 @@ class Catalog:
         self.files.delete(old)
         return Table(self, name)
 
-    def _copy(self, source: str, target: str, schema: TableSchema) -> None:
-        """A version to another place: data and postings by Spark, then the small files, then its name."""
+    def _copy(self, source: Snapshot, target: str) -> None:
+        """A version to another place, whole: data and postings by Spark, then the small files, then its name."""
         folder, name = target.rsplit("/", 1)
         draft = f"{folder}/.{name}"
         self.files.delete(draft)
-        write_data(self.spark.read.parquet(f"{source}/data"), f"{draft}/data", schema.key)
-        if self.files.exists(f"{source}/postings"):
-            write_postings(self.spark.read.parquet(f"{source}/postings"), f"{draft}/postings")
-        self.files.replace(f"{draft}/meta.json", self.files.read(f"{source}/meta.json"))
+        write_data(source._read("data", source.stored(), F.col(kv.BUCKET)), f"{draft}/data", source.meta["columns"].get(str(source.schema.key_field.number), source.schema.key))
+        if source.kind == "inverted":
+            write_postings(source.postings, f"{draft}/postings")
+        meta = {k: v for k, v in source.meta.items() if k != "parts"} | {"bytes": self.files.bytes(draft), "build_id": name}
+        self.files.replace(f"{draft}/meta.json", json.dumps(meta, indent=2))
         for side in SIDES:
-            at = f"{source}/{side}" if self.files.exists(f"{source}/{side}") else f"{source.rsplit('/', 1)[0]}/{side}"
+            at = f"{source.path}/{side}" if self.files.exists(f"{source.path}/{side}") else f"{source.path.rsplit('/', 1)[0]}/{side}"
             self.files.replace(f"{draft}/{side}", self.files.read(at))
         self.files.delete(target)
         self.files.move(draft, target)
@@ -373,7 +426,7 @@ class Catalog:
         target = f"{store.rstrip('/')}/{name}"
         self.files.make(target)
         build_id = build_id or new_build_id(lambda b: self.files.exists(f"{target}/{b}"))
-        self._copy(source.path, f"{target}/{build_id}", source.schema)
+        self._copy(source, f"{target}/{build_id}")
         return build_id
 
     def deploy(self, name: str, store: str, build_id: str | None = None, keep: int = 2, refresh: bool = False) -> str:
@@ -387,7 +440,8 @@ class Catalog:
         self.files.make(folder)
         schema = parse_schema(self.files.read(f"{source}/{build_id}/schema.json"))
         if refresh or not self.files.exists(f"{folder}/{build_id}"):
-            self._copy(f"{source}/{build_id}", f"{folder}/{build_id}", schema)
+            meta = json.loads(self.files.read(f"{source}/{build_id}/meta.json"))
+            self._copy(Snapshot(schema, meta["kind"], build_id, f"{source}/{build_id}", meta["buckets"], meta, self.spark), f"{folder}/{build_id}")
         for side in SIDES:
             self.files.replace(f"{folder}/{side}", self.files.read(f"{folder}/{build_id}/{side}"))
         table = Table(self, name)

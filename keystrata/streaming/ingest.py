@@ -78,7 +78,8 @@ def apply_batch(table: Table, messages: DataFrame, batch: int | None = None, met
             return None
         return cdc.fold_into(parsed, schema, base)
 
-    build = table.change(folded, extra={"stream": {"offset": state["last"], **({} if batch is None else {"batch": batch, "run": run})}})
+    # Only buckets of the batch's keys are read and written.
+    build = table.change(folded, keys=parsed.where("status = 'ok'").select("key"), extra={"stream": {"offset": state["last"], **({} if batch is None else {"batch": batch, "run": run})}})
     if build is None:
         return None
     table.files.replace(f"{table.root}/kafka.offset", str(state["last"]))

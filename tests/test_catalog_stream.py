@@ -273,3 +273,35 @@ def test_rebuilding_keeps_the_live_table_until_the_end(spark, tmp_path):
     assert c.open("s").acquire().get("a").row.epoch == 1 and c.tables() == ["s"]
     c.build("s", SESSION, spark.createDataFrame([("a", 3)], SESSION.struct_type()))
     assert c.open("s").acquire().get("a").row.epoch == 3
+
+
+def test_commits_of_some_keys_write_their_buckets_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("keystrata.plans.catalog.MOST_PARTS", 4)
+    schema = parse_schema('{"name": "d", "pk": "id", "fields": [{"name": "id", "type": "int64", "field_id": 1}, {"name": "bio", "type": "string", "field_id": 2, "is_index": true}]}')
+    t = Catalog(spark, str(tmp_path / "db"), buckets=8).create("d", schema, "inverted")
+    want = {i: f"old t{i % 7}" for i in range(400)}
+    frame = lambda rows: spark.createDataFrame(sorted(rows.items()), schema.struct_type())
+    first = t.commit(frame(want))
+    for i in range(12):
+        fresh = {i: f"new t{i}", 1000 + i: "more"}
+        build = t.upsert(frame(fresh))
+        want |= fresh
+        if i % 3 == 2:
+            build = t.delete(spark.createDataFrame([(i,), (5000,)], "key long"))
+            del want[i]
+        meta = t.acquire().meta
+        if "parts" in meta:
+            assert sum(map(len, meta["parts"].values())) == 8 and len(meta["parts"]) <= 5
+            assert {int(p.name.split("=")[1]) for p in (tmp_path / "db" / "d" / build / "data").glob("__pk_bucket=*")} <= set(meta["parts"][build])
+    assert any("parts" in t._meta(v) for v in t.versions()) and any("parts" not in t._meta(v) for v in t.versions() if v != first)
+    held = t.acquire()
+    assert {r.id: r.bio for r in held.rows.collect()} == want and held.meta["record_count"] == len(want)
+    assert sorted(r.key for r in inverted.query(held.postings, 2, "new").collect()) == sorted(k for k, v in want.items() if v.startswith("new"))
+    t.prune(1)
+    assert {r.id: r.bio for r in t.acquire().rows.collect()} == want and set(t.acquire().meta.get("parts", [])) <= set(t.versions())
+    t.catalog.publish("d", str(tmp_path / "store"), "r1")
+    serve = Catalog(spark, str(tmp_path / "s"), buckets=8)
+    serve.deploy("d", str(tmp_path / "store"))
+    assert {r.id: r.bio for r in serve.open("d").acquire().rows.collect()} == want and "parts" not in serve.open("d").acquire().meta
+    plan = kv.where_key(held.rows, schema, 3, held.buckets)._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and held.get(0).row.bio == "new t0"
