@@ -6,8 +6,6 @@ Words are maximal runs of bytes outside space and 0x09-0x0D, as everywhere in th
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.plans.scratch import shared_folder  # noqa: F401 - used by the modules of this subpackage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one table of the folder, by Spark's own reader."""
@@ -28,17 +28,6 @@ def crc_rest(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which has to be set on a cluster; in local mode below a local one if it isn't."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keystrata-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def free_name(names: list[str], base: str) -> str:
     """The name, with underscores in front as long as a column has it already."""
     while base.lower() in {n.lower() for n in names}:
