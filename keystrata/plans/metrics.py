@@ -6,6 +6,7 @@ import math
 from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +44,20 @@ def nearest_rank(frame: DataFrame, value: str, quantiles: Iterable[float], *labe
 
 
 def summaries(frame: DataFrame, value: str, *labels: str) -> DataFrame:
-    """Count, sum and approximate quantiles per combination of labels."""
-    points = F.percentile_approx(value, [float(q) for q in QUANTILES], 10_000)
-    q = frame.groupBy(*labels).agg(F.count(value).alias("count"), F.sum(value).alias("sum"), points.alias("__q"))
-    return q.select(*labels, "count", "sum", *[F.get("__q", F.lit(i)).alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}") for i, p in enumerate(QUANTILES)])
+    """Count, sum and exact quantiles per combination of labels: of n sorted values the one of rank ceil(p * n).
+
+    Equal values are counted before they are shuffled, so ranks are running sums over distinct values, and what is
+    sorted can spill. Ranks are computed in decimals, as 0.999 * n in doubles may land just above a whole number.
+    """
+    counts = frame.groupBy(*labels, value).agg(F.count(value).alias("__c"), F.sum(value).alias("__s"))
+    whole = Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))
+    ranked = counts.withColumn("__upto", F.sum("__c").over(whole.orderBy(value))).withColumn("__n", F.sum("__c").over(whole))
+    shown = []
+    for p in QUANTILES:
+        rank = F.greatest(F.lit(1), F.ceil(F.lit(Decimal(str(p))) * F.col("__n")).cast("long"))
+        hit = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
+        shown.append(F.max(F.when(hit, F.col(value))).alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}"))
+    return ranked.groupBy(*labels).agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("count"), F.sum("__s").alias("sum"), *shown)
 
 
 # ---------------------------------------------------------------- registry and text

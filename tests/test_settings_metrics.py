@@ -95,3 +95,15 @@ def test_percentiles(spark):
     got = {(r.g, r.quantile): r.value for r in metrics.nearest_rank(t, "v", (0.5, 0.999), "g").collect()}
     assert got == {(0, 0.5): 500.0, (1, 0.5): 499.0, (0, 0.999): 1000.0, (1, 0.999): 999.0}
     assert json.dumps(metrics.load_report(9, 1, 7, 2.0, [1.0, 3.0])).startswith('{"ok": 9, "errors": 1, "found": 7, "not_found": 2, "qps": 5.0')
+
+
+def test_summaries_are_exact(spark):
+    """Quantiles of a group with more distinct values than a sketch keeps, and ranks that doubles would round up."""
+    t = spark.range(30_000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 30_000).cast("double").alias("v"))
+    t = t.unionByName(spark.createDataFrame([(None, None), (0, None)], "g long, v double"))
+    got = {r.g: r for r in metrics.summaries(t, "v", "g").collect()}
+    # The values of a group are every second number, in order.
+    for g in (0, 1):
+        assert tuple(got[g])[1:] == (15_000, float(sum(range(g, 30_000, 2))), *[float(g + 2 * (-(-15_000 * k // 1000) - 1)) for k in (500, 900, 990, 999)])
+    assert tuple(got[None]) == (None, 0, None, None, None, None, None)
+    assert metrics.summaries(t.where("false"), "v").first()["count"] == 0
