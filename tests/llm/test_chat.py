@@ -1,7 +1,9 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keystrata.llm import chat
 
@@ -67,3 +69,23 @@ def test_long_turns_and_long_runs_without_a_reply(spark, monkeypatch):
     full = {r.conv_id: r for r in chat.materialise(examples).collect()}
     assert list(chat.parse(full[1].text)) == [(r[2], r[3]) for r in rows if r[0] == 1 and r[1] <= 60] and full[1].text[full[1].loss_start : full[1].loss_end] == "a"
     assert len(full[2].text) == whole[2].formatted_chars
+
+
+def test_examples_are_spelled_out_and_read_back(spark, monkeypatch):
+    """Each example has its whole prefix and its target, and the digests come from them."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} </s>\\", "x") for i in range(9)] + [(2, 0, "user", "q", "x"), (2, 1, "assistant", "a", "x")]
+    turns = spark.createDataFrame(rows, DDL)
+    examples = chat.expand(turns).cache()
+    got = {(r.conv_id, r.example): r for r in examples.collect()}
+    for k in range(4):
+        said = "".join(chat.format_turn(r[2], r[3]) for r in rows[: 2 * k + 1])
+        assert (got[1, k].prefix, got[1, k].target) == (f"{said}<|assistant|>", chat.escape(rows[2 * k + 1][3]))
+    assert (got[1, 4].prefix, got[1, 4].target) == (None, None)
+    plain = {r.conv_id: r for r in chat.digests(examples).collect()}
+    more = examples.where("conv_id = 2").withColumn("prefix", F.concat(F.lit("<|user|>more</s>"), "prefix"))
+    assert chat.digests(more).first().n_turns == plain[2].n_turns + 1
+    with pytest.raises(Exception, match="does not begin with the one before it"):
+        chat.digests(examples.withColumn("prefix", F.when(F.col("example") == 2, F.lit("<|user|>else</s><|assistant|>")).otherwise(F.col("prefix")))).collect()
+    # Small batches give the same rows.
+    monkeypatch.setattr(chat, "BATCH", 10)
+    assert {r.conv_id: r for r in chat.digests(chat.expand(turns)).collect()} == plain
