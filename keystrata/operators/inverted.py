@@ -35,21 +35,17 @@ def terms_of(f: Field) -> Column | None:
 def postings(snapshot: DataFrame, schema: TableSchema) -> DataFrame:
     """Distinct (field_id, term, key) of all indexed fields, in one pass over the rows.
 
-    Terms are made distinct within a row's array; a key has one row, so no shuffle is needed.
+    Terms are made distinct within a row's array; a key has one row, so no shuffle is needed. A row becomes one row a
+    field with its array of terms, and then one a term.
     """
-    shape = "array<struct<field_id:int,term:string>>"
-
-    def pairs(number: int, terms: Column) -> Column:
-        found = F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(number).alias("field_id"), t.alias("term")))
-        return F.coalesce(found.cast(shape), F.array().cast(shape))
-
+    shape = "array<struct<field_id:int,terms:array<string>>>"
     parts = []
     for f in schema.fields:
         terms = terms_of(f) if f.is_index else None
         if terms is not None:
-            parts.append(pairs(f.number, terms))
-    rows = snapshot.select(F.col(schema.key).alias("key"), F.explode(F.concat(*parts) if parts else F.array().cast(shape)).alias("p"))
-    return rows.select("p.field_id", "p.term", "key")
+            parts.append(F.struct(F.lit(f.number).alias("field_id"), F.array_distinct(terms).alias("terms")))
+    fields = snapshot.select(F.col(schema.key).alias("key"), F.explode(F.array(*parts).cast(shape)).alias("p"))
+    return fields.select(F.col("p.field_id").alias("field_id"), F.explode("p.terms").alias("term"), "key")
 
 
 def query(index: DataFrame, field_id: int, term: str) -> DataFrame:

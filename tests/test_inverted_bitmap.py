@@ -1,3 +1,4 @@
+import glob
 import random
 
 import numpy as np
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from keystrata.functions import arrays
 from keystrata.operators import bitmap, inverted
-from keystrata.sources.schema import parse_schema
+from keystrata.plans import catalog
+from keystrata.sources.schema import Field, TableSchema, parse_schema
 
 USER = parse_schema('{"pk": "user_id", "fields": [{"name": "user_id", "type": "int64", "field_id": 1}, {"name": "age", "type": "int32", "field_id": 2, "is_index": true}, {"name": "bio", "type": "string", "field_id": 3, "is_index": true}]}')
 TAGS = parse_schema('{"pk": "id", "fields": [{"name": "id", "type": "int64", "field_id": 1}, {"name": "tags", "type": "string", "is_array": true, "field_id": 2, "is_index": true}]}')
@@ -146,3 +148,19 @@ def test_all_fields_in_one_pass(spark, users, tmp_path):
     index = inverted.postings(spark.read.parquet(str(tmp_path / "u")), USER)
     assert index._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted((r.field_id, r.term) for r in index.where("key = 2").collect()) == [(2, "30"), (3, "music"), (3, "rock")]
+
+
+def test_stored_postings_stay_where_their_rows_were_read(spark, tmp_path):
+    """Made in one pass and not dealt anew: all of a key's are in one file, which is in order of terms."""
+    docs = spark.createDataFrame([(i, f"all W{i % 7} w{i} \u212aelvin", [f"t{i % 3}", f"T{i % 3}"]) for i in range(300)], "id long, text string, tags array<string>")
+    schema = TableSchema("d", "id", (Field("id", "int64", 1), Field("text", "string", 2, is_index=True), Field("tags", "string", 3, True, is_index=True)))
+    table = catalog.Catalog(spark, str(tmp_path / "c")).create("d", schema, "inverted")
+    table.commit(docs)
+    stored = table.acquire()
+    assert sorted(map(tuple, stored.postings.collect())) == sorted({(n, t, i) for i in range(300) for n, t in ((2, "all"), (2, f"w{i % 7}"), (2, f"w{i}"), (2, "elvin"), (3, f"t{i % 3}"))})
+    keys = []
+    for f in glob.glob(f"{stored.path}/postings/*.parquet"):
+        rows = spark.read.parquet(f).coalesce(1).collect()
+        assert [r.term for r in rows] == sorted(r.term for r in rows)
+        keys += {r.key for r in rows}
+    assert sorted(keys) == list(range(300))
