@@ -32,12 +32,10 @@ def items_of(messages: DataFrame) -> DataFrame:
     """
     v = F.try_parse_json("value")
     kind = F.schema_of_variant(F.col("v"))
-    parsed = messages.select("offset", v.alias("v"))
-    bad = parsed.where("v IS NULL").select("offset", F.lit(0).cast("long").alias("item"), F.lit(None).cast("variant").alias("doc"), F.lit(True).alias("parse_error"))
-    good = parsed.where("v IS NOT NULL")
+    # Text that is no JSON has v null, and is one item as it is.
     elements = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    each = good.select("offset", F.posexplode(elements).alias("item", "doc"))
-    return each.select("offset", F.col("item").cast("long").alias("item"), "doc", F.lit(False).alias("parse_error")).unionByName(bad)
+    each = messages.select("offset", v.alias("v")).select("offset", F.col("v").isNull().alias("parse_error"), F.posexplode(elements).alias("item", "doc"))
+    return each.select("offset", F.col("item").cast("long").alias("item"), "doc", "parse_error")
 
 
 def _at(f: Field) -> str:

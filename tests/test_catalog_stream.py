@@ -305,3 +305,24 @@ def test_commits_of_some_keys_write_their_buckets_only(spark, tmp_path, monkeypa
     assert {r.id: r.bio for r in serve.open("d").acquire().rows.collect()} == want and "parts" not in serve.open("d").acquire().meta
     plan = kv.where_key(held.rows, schema, 3, held.buckets)._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and held.get(0).row.bio == "new t0"
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Buckets, fold and metrics read the operations that were parsed, not the messages again; nothing stays cached."""
+    table, cached = Catalog(spark, str(tmp_path / "c")).create("user", USER), spark.sparkContext._jsc.getPersistentRDDs().size()
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    parse = ingest.cdc.parse
+    monkeypatch.setattr(ingest.cdc, "parse", lambda m, s: parse(m.mapInArrow(count, m.schema), s))
+    frame = spark.range(40).select(F.col("id").alias("offset"), F.when(F.col("id") == 39, "{oops").otherwise(F.format_string('{"%s": %d}', F.lit(USER.key), F.col("id"))).alias("value"))
+    metrics = Registry()
+    for batch in (0, 1):
+        ingest.apply_batch(table, frame, batch, metrics)
+    assert read.value == 80 and table.acquire().rows.count() == 39
+    assert metrics["kafka_parse_errors_total"].values["user",] == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
