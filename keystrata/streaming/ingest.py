@@ -18,6 +18,9 @@ from keystrata.plans.catalog import Table
 from keystrata.plans.metrics import Registry
 from keystrata.plans.settings import StreamSource
 
+#: Partitions for each core that a batch's parsed operations are kept in, at most.
+PARTS_A_CORE = 4
+
 
 def seek_ms(watermark_sec: int, rewind_minutes: int) -> int:
     """Where a catch-up starts: the watermark less the rewind, in milliseconds, at least 0."""
@@ -70,8 +73,9 @@ def apply_batch(table: Table, messages: DataFrame, batch: int | None = None, met
     state = messages.agg(F.max("offset").alias("last"), F.count("*").alias("n")).first()
     if not state["n"]:
         return None
-    # Read by the choice of buckets, three times by the fold, and by the metrics; parsed once.
-    parsed = cdc.parse(messages, schema).persist()
+    # Read by the choice of buckets, three times by the fold, and by the metrics; parsed once. A shuffle's partitions
+    # are put together to a few a core, as each reading would start a task for each of them.
+    parsed = cdc.parse(messages, schema).coalesce(PARTS_A_CORE * messages.sparkSession.sparkContext.defaultParallelism).persist()
 
     def folded(base: DataFrame) -> DataFrame | None:
         last = table.acquire().meta.get("stream", {}) if table.active() is not None else {}
